@@ -79,7 +79,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT i + 1, source, source_size, cap, weight, CASE WHEN target IS NOT NULL THEN target WHEN share >= cap THEN cap END,
             rest - coalesce(sum(CASE WHEN target IS NULL AND share >= cap THEN cap END) OVER (), 0)
         FROM (SELECT *, weight * rest / sum(CASE WHEN target IS NULL THEN weight END) OVER () AS share FROM fill) WHERE i < 30),
-    t AS (SELECT source, source_size, coalesce(target, weight * rest / sum(CASE WHEN target IS NULL THEN weight END) OVER ()) AS target FROM fill WHERE i = 30)
+    t AS (SELECT source, source_size, coalesce(target, weight * rest / sum(CASE WHEN target IS NULL THEN weight END) OVER ()) AS target FROM fill WHERE i = 30),
     u AS (SELECT *, [0.5, 0.0, -0.5][((dense_rank() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS a FROM t),
     y AS (SELECT doc_id, size, source_size, target, a, floor(target + 0.5)::BIGINT AS need,
         (sum(size) OVER (PARTITION BY z.source ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS b FROM z JOIN u ON z.source IS NOT DISTINCT FROM u.source),
