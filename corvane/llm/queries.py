@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import exact_dedup, minhash, mixing, quality_rules
+from corvane.llm import bpe, exact_dedup, minhash, mixing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -95,3 +95,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_minhash_bayes")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def multi_50k() -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op3_byte_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), multi_50k())
