@@ -68,7 +68,7 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame
     return cold.unionByName(hot)
 
 
-def only(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi", n: int | None = None) -> DataFrame:
+def only(rows: DataFrame, keys: DataFrame, key: str | list[str], how: str = "left_semi", n: int | None = None) -> DataFrame:
     """rows whose key is (left_semi) or isn't (left_anti) in keys: by broadcast if keys are few, else by a shuffle join."""
     if (keys.count() if n is None else n) <= BROADCAST_ROWS:
         keys = F.broadcast(keys)

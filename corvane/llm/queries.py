@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, exact_dedup, minhash, mixing, quality_rules
+from corvane.llm import bpe, exact_dedup, minhash, mixing, quality_rules, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -106,3 +106,8 @@ def multi_50k() -> bpe.Vocabulary:
 @query("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), multi_50k())
+
+
+@query("op8_fingerprint_index")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text")
