@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, exact_dedup, minhash, mixing, quality_rules, substring
+from corvane.llm import bpe, exact_dedup, minhash, mixing, pii, quality_rules, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -111,3 +111,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_fingerprint_index")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_text")
+
+
+@query("op10_sanitisation")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
