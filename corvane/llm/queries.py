@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, classifier, exact_dedup, minhash, mixing, pii, quality_rules, substring
+from corvane.llm import bpe, classifier, exact_dedup, licenses, minhash, mixing, pii, quality_rules, substring, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -121,3 +121,66 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql() -> str:
+    """DuckDB for the canonical lines of a text t."""
+    x = r"' ' || replace(regexp_replace(lower(t), '[^\p{L}\p{N}\n]+', '  ', 'g'), chr(10), ' ' || chr(10) || ' ') || ' '"
+    for variant, usual in licenses.SPELLINGS:
+        x = f"replace({x}, ' {variant} ', ' {usual} ')"
+    lines = f"list_transform(string_split(regexp_replace({x}, ' +', ' ', 'g'), chr(10)), lambda l: trim(l, ' '))"
+    return f"list_filter({lines}, lambda l: l <> '' AND NOT regexp_matches(l, '{licenses.COPYRIGHT}'))"
+
+
+@query(
+    "op4_license_scan",
+    f"""
+    WITH known AS (SELECT * FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in licenses.KNOWN)}) AS v(license, t)),
+    k AS (SELECT sha256(array_to_string(x, ' ')) AS digest, min(license) AS license FROM (SELECT license, {_canonical_sql()} AS x FROM known) GROUP BY digest),
+    d AS (SELECT doc_id, {_canonical_sql()} AS x FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+    w AS (SELECT doc_id, CASE WHEN len(x) > 0 THEN sha256(array_to_string(x, ' ')) END AS digest FROM d),
+    n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT doc_id, sha256(unnest(x)) AS digest FROM d) JOIN k USING (digest) GROUP BY doc_id)
+    SELECT doc_id, digest, license, coalesce(notices, '') AS notices FROM w LEFT JOIN k USING (digest) LEFT JOIN n USING (doc_id)""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The pages have no fetch times and there is no list, so both are made by rule: page p is fetched p mod 366 days (and p mod 24 hours) into
+#: 2024; every host is added, removed and perhaps added again on days that its MD5 gives; one domain and one folder of each host too.
+@query(
+    "op1_url_lists",
+    r"""
+    WITH c AS (SELECT page_id, url, TIMESTAMP '2024-01-01 00:00:00' + to_hours(((page_id % 366) * 24 + page_id % 24)::INT) AS fetched_at,
+        rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host, regexp_extract(url, '://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+    h AS (SELECT DISTINCT host, md5(host) AS m FROM c WHERE host <> ''),
+    raw AS (SELECT host AS entry, 'add' AS action, ('0x' || substr(m, 1, 2))::INT AS day FROM h
+        UNION ALL SELECT host, 'remove', ('0x' || substr(m, 1, 2))::INT + ('0x' || substr(m, 3, 2))::INT // 4 FROM h
+        UNION ALL SELECT host, 'add', ('0x' || substr(m, 1, 2))::INT + ('0x' || substr(m, 5, 2))::INT // 2 FROM h WHERE substr(m, 7, 1) < '8'
+        UNION ALL SELECT host || '/fr/', 'add', ('0x' || substr(m, 9, 2))::INT FROM h
+        UNION ALL SELECT * FROM (VALUES ('example.com', 'add', 100), ('example.com', 'remove', 110)) AS v),
+    e AS (SELECT DISTINCT entry, action, TIMESTAMP '2024-01-01 00:00:00' + to_days(day) AS moment FROM raw),
+    i AS (SELECT * FROM (SELECT entry, action, moment AS since, lead(moment) OVER (PARTITION BY entry ORDER BY moment, action) AS until FROM e) WHERE action = 'add' AND (until IS NULL OR until > since)),
+    k AS (SELECT page_id, url, host, fetched_at, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda j: array_to_string(string_split(host, '.')[j:], '.'))
+        || list_transform(range(1, len(string_split(path, '/'))), lambda j: host || array_to_string(string_split(path, '/')[1:j], '/') || '/')) AS key FROM c)
+    SELECT c.page_id, c.host, c.fetched_at, count(DISTINCT entry) AS n_active, min(entry) AS entry, count(entry) > 0 AS blocked
+    FROM c LEFT JOIN (SELECT DISTINCT page_id, url, fetched_at, entry FROM k JOIN i ON key = entry AND fetched_at >= since AND (until IS NULL OR fetched_at < until)) x
+        ON c.page_id = x.page_id AND c.url = x.url GROUP BY c.page_id, c.url, c.host, c.fetched_at""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hours = ((F.col("page_id") % 366) * 24 + F.col("page_id") % 24).cast("int")
+    captures = pages.withColumn("fetched_at", start + F.make_dt_interval(hours=hours))
+    h = pages.select(url_lists.host_of(F.col("url")).alias("host")).filter("host <> ''").distinct().withColumn("m", F.md5("host"))
+    byte = lambda i: F.conv(F.substring("m", i, 2), 16, 10).cast("int")
+    event = lambda entry, action, day: F.struct(entry.alias("entry"), F.lit(action).alias("action"), day.cast("int").alias("day"))
+    again = F.when(F.substring("m", 7, 1) < "8", event(F.col("host"), "add", byte(1) + F.floor(byte(5) / 2)))
+    made = F.array(event(F.col("host"), "add", byte(1)), event(F.col("host"), "remove", byte(1) + F.floor(byte(3) / 4)), again, event(F.concat("host", F.lit("/fr/")), "add", byte(9)))
+    events = h.select(F.explode(made).alias("e")).filter("e IS NOT NULL").select("e.*")
+    events = events.union(spark.createDataFrame([("example.com", "add", 100), ("example.com", "remove", 110)], events.schema))
+    return url_lists.temporal_verdicts(captures, events.select("entry", "action", (start + F.make_dt_interval(days=F.col("day"))).alias("at")))
