@@ -16,11 +16,16 @@ from corvane.llm.wordhash import mix, shingles, slices, words
 WORDS = 5
 #: 32 bands of 4 rows: two documents at a similarity of 0.75 share no band with a chance of 5e-6, at 0.8 of 5e-8.
 BANDS, ROWS = 32, 4
-#: Signature bits are compared in batches of so many.
-BATCH = 64
+#: Four bits of each minimum, 16 minima in a number: the signature is compared 2 numbers, then 4, then 8 at a time.
+NUMBERS, PER_NUMBER, STEPS = 8, 16, (2, 4, 8)
 _U = np.uint64
+#: A deep signature: DEEP one-byte minima, compared BYTES at a time. Members of a family are compared in blocks of about BLOCK documents and
+#: BLOCK_SHINGLES shingles at most (one longer document is a block of its own).
+DEEP, BYTES, BLOCK, BLOCK_SHINGLES = 1024, 128, 256, 250_000
 _A = np.random.RandomState(11).randint(1, 2**62, BANDS * ROWS, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _B = np.random.RandomState(13).randint(1, 2**62, BANDS * ROWS, dtype=np.int64).astype(_U)
+_C = np.random.RandomState(17).randint(1, 2**62, DEEP, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+_D = np.random.RandomState(19).randint(1, 2**62, DEEP, dtype=np.int64).astype(_U)
 
 
 def sets(h: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
@@ -35,11 +40,11 @@ def sets(h: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
             yield np.zeros(0, _U)
 
 
-def signature(u: np.ndarray) -> np.ndarray:
-    """The minima of BANDS * ROWS hash functions over a set, taken in parts so that long texts need no more memory."""
-    least = np.full(len(_A), np.iinfo(np.uint64).max, _U)
-    for i in range(0, len(u), 1024):
-        least = np.minimum(least, (u[None, i : i + 1024] * _A[:, None] + _B[:, None]).min(1))
+def signature(u: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    """The minima of hash functions a * u + b over a set, taken in parts so that long texts need no more memory."""
+    least = np.full(len(a), np.iinfo(np.uint64).max, _U)
+    for i in range(0, len(u), 256):
+        least = np.minimum(least, (u[None, i : i + 256] * a[:, None] + b[:, None]).min(1))
     return least
 
 
@@ -54,64 +59,144 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 m = mix(signature(u))
                 rows = m.reshape(BANDS, ROWS)
                 bands.append(mix(sum(rows[:, i] * _A[i] for i in range(ROWS))).view(np.int64))
-                bits.append(np.packbits((m & _U(1)).astype(np.uint8)).view(np.int64))
+                nibbles = (m & _U(15)).astype(np.uint8).reshape(-1, 2)
+                bits.append((nibbles[:, 0] * 16 + nibbles[:, 1]).view(np.int64))
         flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
-        b = np.array(bits, np.int64).reshape(-1, 2)
-        yield pa.record_batch([ids, pa.array(size, pa.int64()), pa.array(key, pa.binary()), lists, pa.array(b[:, 0]), pa.array(b[:, 1])], ["doc_id", "n_shingles", "key", "bands", "s0", "s1"])
+        b = np.array(bits, np.int64).reshape(-1, NUMBERS)
+        yield pa.record_batch([ids, pa.array(size, pa.int64()), pa.array(key, pa.binary()), lists, *(pa.array(b[:, i]) for i in range(NUMBERS))], ["doc_id", "n_shingles", "key", "bands", *(f"s{i}" for i in range(NUMBERS))])
 
 
-def _confirmed(at_least: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(floor: int):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, known = [], {}
-            for i, (a, ta, tb) in enumerate(zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True)):
-                if a not in known:
-                    known = {a: text_set(ta.as_py())}  # rows mostly come by a
-                x, y = known[a], text_set(tb.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= at_least * (len(x) + len(y) - both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            for k in range(0, len(batch), 500):
+                part = batch.slice(k, 500)
+                a, b = (part.column(c).to_numpy() for c in "ab")
+                ids, at = np.unique(np.concatenate([a, b]), return_index=True)
+                texts = pa.concat_arrays([part.column("ta"), part.column("tb")]).take(pa.array(at))
+                known = dict(zip(ids.tolist(), text_sets(texts), strict=True))
+                pairs = [(known[x], known[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in pairs], np.int64)
+                union = np.array([len(x) + len(y) for x, y in pairs], np.int64) - both
+                keep = 100 * both >= floor * union
+                yield pa.record_batch([pa.array(c[keep]) for c in (a, b, both, union)], ["a", "b", "both", "union"])
 
-    return confirm
+    return measure
 
 
-def text_set(text: str | None) -> np.ndarray:
-    for _, data, offsets in slices(pa.array([text], pa.string())):
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, len(batch), 500):
+            part = batch.slice(k, 500)
+            yield pa.record_batch([part.column(0), pa.array([u.tobytes() for u in text_sets(part.column(1))], pa.binary())], ["doc_id", "set"])
+
+
+def _linked(bar: list[int], at_least: int):
+    """Links between two blocks of a family, across components; of links that join the same components, one is enough."""
+
+    def compare(t: pa.Table) -> pa.Table:
+        ids, comp, left, size = (t.column(c).to_numpy() for c in ("doc_id", "component", "left", "n_shingles"))
+        full = [np.frombuffer(b, _U) for b in t.column("set").to_pylist()]
+        sig = np.array([(mix(signature(u, _C, _D)) >> _U(56)).astype(np.uint8) for u in full]).reshape(-1, DEEP)
+        x = np.flatnonzero(left)
+        y = x if left.all() else np.flatnonzero(~left)
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        out = []
+        for i in range(0, len(x), 64):
+            part = x[i : i + 64]
+            ok = (comp[part][:, None] != comp[y][None]) & (100 * np.minimum(size[part][:, None], size[y][None]) >= at_least * np.maximum(size[part][:, None], size[y][None]))
+            p, q = np.nonzero(ok)
+            p, q = part[p], y[q]
+            n = np.zeros(len(p), np.int32)
+            for k, least in enumerate(bar):
+                cut = slice(k * BYTES, (k + 1) * BYTES)
+                n += (sig[p, cut] == sig[q, cut]).sum(1, dtype=np.int32)
+                stay = n >= least
+                p, q, n = p[stay], q[stay], n[stay]
+            order = np.argsort(-n, kind="stable")  # the likeliest first: a link spares the other pairs of its components
+            for a, b in zip(p[order].tolist(), q[order].tolist(), strict=True):
+                ra, rb = root(int(comp[a])), root(int(comp[b]))
+                if ra != rb:
+                    both = len(np.intersect1d(full[a], full[b], assume_unique=True))
+                    if 100 * both >= at_least * (len(full[a]) + len(full[b]) - both):
+                        up[max(ra, rb)] = min(ra, rb)
+                        out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return compare
+
+
+def text_sets(texts: pa.Array) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for _, data, offsets in slices(texts):
         _, _, h, first = words(data, offsets, lower=True)
-        return next(sets(h, first))
-    return np.zeros(0, _U)
+        out += sets(h, first)
+    return out
 
 
-def least_matches(threshold: float, miss: float, batches: int = BANDS * ROWS // BATCH) -> list[int]:
-    """For each number of signature bits compared, BATCH at a time: the fewest matches with which a pair stays.
+def least_matches(threshold: float, miss: float, batch: int, batches: int, chance: float) -> list[int]:
+    """For each number of signature values compared, batch at a time: the fewest matches with which a pair stays.
 
-    A bit of two documents matches with chance p = (1 + s) / 2. With s uniform a priori, the posterior after m matches of n is
-    proportional to p^m (1 - p)^(n - m) over 0.5..1. A pair is pruned when the posterior chance of s >= threshold is below miss.
+    Values of two documents match with chance p = s + (1 - s) * chance, where chance is that of values of different minima to be equal (1/2 for a
+    bit, 1/256 for a byte). With s uniform a priori, the posterior after m matches of n is proportional to p^m (1 - p)^(n - m). A pair is
+    pruned when the posterior chance of s >= threshold is below miss.
     """
     s = (np.arange(20000) + 0.5) / 20000
-    p, out = (1 + s) / 2, []
-    for n in range(BATCH, BATCH * batches + 1, BATCH):
-        for m in range(n + 1):
+    p, out = s + (1 - s) * chance, []
+    for n in range(batch, batch * batches + 1, batch):
+        low, high = 0, n  # the posterior chance rises with m
+        while low < high:
+            m = (low + high) // 2
             w = m * np.log(p) + (n - m) * np.log1p(-p)
             w = np.exp(w - w.max())
-            if w[s >= threshold].sum() >= miss * w.sum():
-                break
-        out.append(m)
+            low, high = (low, m) if w[s >= threshold].sum() >= miss * w.sum() else (m + 1, high)
+        out.append(low)
     return out
 
 
-def confirmed_links(pairs: DataFrame, docs: DataFrame, at_least: int) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets have a Jaccard similarity of at_least / 100 or more."""
+def similarities(pairs: DataFrame, docs: DataFrame, floor: int) -> DataFrame:
+    """(a, b, both, union) of those of pairs (a, b) whose full shingle sets have a Jaccard similarity of floor / 100 or more."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     texts = stored(only(docs, ids, "doc_id"), "texts")
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return stored(both.select("a", "b", "ta", "tb").mapInArrow(_confirmed(at_least), "a long, b long"), "links")
+    return stored(both.select("a", "b", "ta", "tb").mapInArrow(_measured(floor), "a long, b long, both long, union long"), "similarities")
 
 
-def near_groups(docs: DataFrame, at_least: int = 75, miss: float = 1e-7) -> DataFrame:
+def family_links(members: DataFrame, docs: DataFrame, at_least: int, miss: float) -> DataFrame:
+    """Links (a, b) within families, across components: members (family, doc_id, component, n_shingles).
+
+    The largest component of a family is its core; pairs inside the core are linked already. Core and rest are cut into blocks, and each pair of
+    blocks (rest and core, rest and rest) is one group of bounded size, whatever the family's. A group compares deep signatures in
+    batches of BYTES values, verifies what no batch prunes on the full sets, and gives back links alone, so pairs never become rows.
+    """
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    core = sizes.groupBy("family").agg(F.max_by(F.struct("component", "n", "s"), F.struct("n", "component")).alias("c"), F.sum("n").alias("n"), F.sum("s").alias("s")).filter("c.n < n")
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    core = stored(core.select("family", F.col("c.component").alias("core"), blocks(F.col("c.n"), F.col("c.s")).alias("mb"), blocks(F.col("n") - F.col("c.n"), F.col("s") - F.col("c.s")).alias("ub")), "cores")
+    m = stored(members.join(core, "family"), "members")
+    texts = only(docs, m.select("doc_id").distinct(), "doc_id")
+    m = m.join(stored(texts.mapInArrow(_sets, "doc_id long, set binary"), "sets").dropDuplicates(["doc_id"]), "doc_id")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    key = lambda kind, i, j, left: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), left.alias("left"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    inner = F.transform(upto("ub"), lambda j: key("rest", F.least(block("ub"), j), F.greatest(block("ub"), j), block("ub") <= j))
+    outer = F.transform(upto("mb"), lambda j: key("core", block("ub"), j, F.lit(True)))
+    of_core = F.transform(upto("ub"), lambda i: key("core", i, block("mb"), F.lit(False)))
+    m = m.withColumn("k", F.explode(F.when(F.col("component") == F.col("core"), of_core).otherwise(F.concat(inner, outer))))
+    bar = least_matches(at_least / 100, miss, BYTES, DEEP // BYTES, 1 / 256)
+    m = m.select("family", "k.*", "doc_id", "component", "n_shingles", "set")
+    return stored(m.groupBy("family", "kind", "i", "j").applyInArrow(_linked(bar, at_least), "a long, b long"), "inside")
+
+
+def near_groups(docs: DataFrame, at_least: int = 75, miss: float = 1e-7, family: int = 50) -> DataFrame:
     """One row per document of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased (A-Z) and split at white space; a document's set is its distinct 5-word shingles (a shorter text is one
@@ -120,14 +205,15 @@ def near_groups(docs: DataFrame, at_least: int = 75, miss: float = 1e-7) -> Data
     one class, represented by its smallest id; a null id never represents others. Other columns are ignored.
 
     Classes first, so copies are never compared. Then bands of the representatives' MinHash signatures form buckets, and links are
-    sought in two rounds: (1) each document with that bucket pivot (the smallest id) that it shares most bands with, which joins
-    groups of near copies of any size by one comparison a document; (2) in the buckets that still hold several components, every
-    pair of documents across components, in a join whose condition compares signature bits batch by batch and prunes a pair once
-    the posterior chance of reaching the threshold is below miss. Survivors of both are verified on their full texts. A pair that
-    shares a bucket is so compared unless its ends are linked already, whatever the bucket's size.
+    sought in steps. (1) Each document with that bucket pivot (the smallest id) that it shares most bands with: one comparison a document, which
+    joins most near copies to their group. (2) Pairs of a similarity of family / 100 or more there make families; in each, what isn't
+    linked to the core yet is compared with all the rest by family_links(). (3) Across families, pairs that share a bucket are compared in a
+    join whose condition takes signature bits batch by batch. Steps 2 and 3 prune a pair once the posterior chance of reaching the threshold
+    is below miss, before it becomes a row; survivors are verified on their full texts. So every pair that shares a bucket is compared
+    unless its ends are linked already, whatever the size of its bucket.
     """
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    profiles = stored(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, key binary, bands array<long>, s0 long, s1 long"), "profiles")
+    profiles = stored(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, key binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(NUMBERS))), "profiles")
     full = profiles.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"])
@@ -138,24 +224,29 @@ def near_groups(docs: DataFrame, at_least: int = 75, miss: float = 1e-7) -> Data
 
     first = shared.filter("doc_id > pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("n"))
     first = first.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("best"))
-    links = confirmed_links(stored(first.select((-F.col("best.p")).alias("a"), F.col("doc_id").alias("b")), "first"), docs, at_least)
-    labels = components(links)
-
-    m = least_matches(at_least / 100, miss)
-    marked = shared.select("doc_id", "bucket").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    marked = stored(marked.withColumn("component", F.coalesce("component", "doc_id")), "marked")
-    open_ = marked.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-    sketch = reps.select("doc_id", "n_shingles", "s0", "s1")
+    near = similarities(stored(first.select((-F.col("best.p")).alias("a"), F.col("doc_id").alias("b")), "first"), docs, min(family, at_least))
+    linked = lambda d: d.filter(f"100 * both >= {at_least} * union").select("a", "b")
+    links, labels, families = linked(near), components(linked(near)), components(near)
+    placed = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = stored(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
+    sketch = reps.drop("bands")
+    inside = family_links(placed.join(sketch.select("doc_id", "n_shingles"), "doc_id"), docs, at_least, miss)
+
+    m = least_matches(at_least / 100, miss, PER_NUMBER, NUMBERS, 1 / 16)
+    marked = shared.select("doc_id", "bucket").join(placed.select("doc_id", "family"), "doc_id", "left")
+    marked = stored(marked.withColumn("family", F.coalesce("family", "doc_id")), "marked")
+    open_ = marked.groupBy("bucket").agg(F.min("family").alias("x"), F.max("family").alias("y")).filter("x < y").select("bucket")
     rest = stored(marked.join(open_, "bucket", "left_semi").join(sketch, "doc_id"), "open")
     x, y = rest.alias("x"), rest.alias("y")
+    spread = lambda v: f"bit_count(({v} | shiftrightunsigned({v}, 1) | shiftrightunsigned({v}, 2) | shiftrightunsigned({v}, 3)) & 1229782938247303441)"  # noqa: E731  of 4-bit groups, those that differ
+    unlike = lambda n: " + ".join(spread(f"(x.s{i} ^ y.s{i})") for i in range(n))
     fits = F.expr(
-        f"x.bucket = y.bucket AND x.doc_id < y.doc_id AND x.component <> y.component AND 100 * least(x.n_shingles, y.n_shingles) >= {at_least} * greatest(x.n_shingles, y.n_shingles)"
-        f" AND bit_count(x.s0 ^ y.s0) <= {BATCH - m[0]} AND bit_count(x.s0 ^ y.s0) + bit_count(x.s1 ^ y.s1) <= {2 * BATCH - m[1]}"
+        f"x.bucket = y.bucket AND x.doc_id < y.doc_id AND x.family <> y.family AND 100 * least(x.n_shingles, y.n_shingles) >= {at_least} * greatest(x.n_shingles, y.n_shingles) AND "
+        + " AND ".join(f"{unlike(n)} <= {n * PER_NUMBER - m[n - 1]}" for n in STEPS)
     )
     pairs = stored(x.join(y, fits).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "pairs")
-    if pairs.head(1):
-        more = confirmed_links(pairs, docs, at_least)
-        labels = components(links.unionByName(more)) if more.head(1) else labels
+    more = inside.unionByName(linked(similarities(pairs, docs, at_least))) if pairs.head(1) else inside
+    labels = components(links.unionByName(more)) if more.head(1) else labels
     found = stored(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("component")), "found")
     out = lookup(profiles.select("doc_id", "n_shingles", "key"), found, "key", "n")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
