@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 import sys
 import types
 from collections.abc import Iterator
@@ -19,27 +18,29 @@ from pyspark.sql import functions as F
 #: A word of more bytes is merged by a heap, as the query's work grows with the square of a word's length. Words of one query.
 LONG, AT_ONCE = 128, 50_000
 #: Entries of each of the two generations of a cache; bytes of text encoded together.
-CACHED, SLICE = 150_000, 4 << 20
+CACHED, SLICE = 300_000, 4 << 20
 
-#: Rows are tokens at positions of words. In each round the pairs of neighbours join the merge table, and each word's leftmost pair of
-#: least rank becomes one token; words without such a pair are done.
+#: A word is a list of tokens. In each round its tokens become rows by position, these join the merge table on themselves and the next token,
+#: and each word's leftmost pair of least rank becomes one token; words without such a pair are done. Ranks are ids of merged tokens.
 ENCODE = """
-WITH RECURSIVE t(w, pos, tok, done) AS (
-    SELECT w, pos, tok, false FROM start
+WITH RECURSIVE state(w, ids, done) AS (
+    SELECT w, ids, false FROM start
     UNION ALL
-    SELECT w, pos, tok, done FROM (
-        WITH pairs AS (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS follows FROM t WHERE NOT done),
-        ranked AS (SELECT w, pos, tok, m.merged, m.merged * 65536::BIGINT + pos AS cost FROM pairs p LEFT JOIN merges m ON p.tok = m.a AND p.follows = m.b),
-        best AS (SELECT *, min(cost) OVER (PARTITION BY w) AS least FROM ranked),
-        merged AS (SELECT w, pos, CASE WHEN cost = least THEN merged ELSE tok END AS tok, least,
-            lag(coalesce(cost = least, false), 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone FROM best)
-        SELECT w, pos, tok, least IS NULL AS done FROM merged WHERE NOT gone)
+    SELECT w, CASE WHEN best IS NULL THEN ids ELSE ids[:pos - 1] || [merged] || ids[pos + 2:] END, best IS NULL
+    FROM (
+        SELECT w, ids, best, (best % 65536)::INT AS pos, (best // 65536)::INT AS merged
+        FROM (
+            SELECT w, any_value(ids) AS ids, min(m.merged * 65536::BIGINT + pos) AS best
+            FROM (SELECT w, ids, pos, ids[pos] AS a, ids[pos + 1] AS b FROM (SELECT w, ids, unnest(range(1, len(ids) + 1)) AS pos FROM state WHERE NOT done))
+            LEFT JOIN merges m USING (a, b) GROUP BY w
+        )
+    )
 )
-SELECT w, list(tok ORDER BY pos) AS ids FROM t WHERE done GROUP BY w ORDER BY w"""
+SELECT ids, array_to_string(ids, ',') AS txt FROM state WHERE done ORDER BY w"""
 
-#: Ordered aggregation of the bytes of the tokens.
+#: Ordered aggregation of the bytes of the tokens, each byte as the character of its number.
 DECODE = """
-SELECT w, string_agg(hex(bytes), '' ORDER BY pos) AS decoded
+SELECT w, string_agg(bytes, '' ORDER BY pos) AS decoded
 FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM encoded) JOIN vocabulary USING (id) GROUP BY w ORDER BY w"""
 
 
@@ -57,7 +58,7 @@ class Vocabulary:
 
 
 class Encoder:
-    """The database with the merge table, and caches of words and of the pieces between spaces."""
+    """The database with the merge table, and a cache of words."""
 
     def __init__(self, v: Vocabulary) -> None:
         import duckdb
@@ -70,12 +71,11 @@ class Encoder:
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, merged = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        for name, rows in (("merges", {"a": a, "b": b, "merged": merged}), ("vocabulary", {"id": pa.array(list(self.bytes), pa.int32()), "bytes": pa.array(list(self.bytes.values()), pa.binary())})):
+        for name, rows in (("merges", {"a": a, "b": b, "merged": merged}), ("vocabulary", {"id": pa.array(list(self.bytes), pa.int32()), "bytes": pa.array([b.decode("latin-1") for b in self.bytes.values()], pa.string())})):
             self.db.register("rows", pa.table(rows))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
             self.db.unregister("rows")
         self.words: list[dict] = [{}, {}]
-        self.pieces: list[dict] = [{}, {}]
 
     def missing(self, cache: list[dict], keys: set[str]) -> list[str]:
         """The keys that aren't cached. What the older generation has moves to the younger; a full younger one becomes the older."""
@@ -86,29 +86,31 @@ class Encoder:
         young.update((k, old[k]) for k in lost & old.keys())
         return sorted(lost - old.keys())
 
-    def merge_words(self, words: list[str]) -> list[list[int]]:
+    def merge_words(self, words: list[str]) -> pa.Table:
+        """(ids, txt) of each word, txt being the ids in decimal, joined by commas."""
         raw = [w.encode() for w in words]
-        n = np.array([len(b) for b in raw], np.int64)
-        w = np.repeat(np.arange(len(raw), dtype=np.int32), n)
-        pos = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
-        self.db.register("start", pa.table({"w": w, "pos": pos.astype(np.int32), "tok": self.byte[np.frombuffer(b"".join(raw), np.uint8)]}))
-        return self.run(ENCODE, "start")["ids"]
+        ends = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte[np.frombuffer(b"".join(raw), np.uint8)]))
+        self.db.register("start", pa.table({"w": pa.array(np.arange(len(raw), dtype=np.int32)), "ids": ids}))
+        return self.run(ENCODE, "start")
 
     def run(self, sql: str, rows: str) -> pa.Table:
         found = self.db.sql(sql).to_arrow_table()
         self.db.unregister(rows)
         return found
 
-    def decode(self, ids: pa.Array | pa.ChunkedArray | list) -> list[bytes]:
-        """The bytes of each list of ids."""
+    def decode(self, ids: pa.ChunkedArray | list[list[int]]) -> list[str]:
+        """The bytes of each list of ids, as a string of characters 0..255."""
         if not len(ids):
             return []
-        table = pa.table({"w": pa.array(range(len(ids)), pa.int32()), "ids": ids if isinstance(ids, pa.ChunkedArray) else pa.array(ids, pa.list_(pa.int32()))})
+        table = pa.table({"w": pa.array(np.arange(len(ids), dtype=np.int32)), "ids": ids if isinstance(ids, pa.ChunkedArray) else pa.array(ids, pa.list_(pa.int32()))})
         self.db.register("encoded", table)
         found = self.run(DECODE, "encoded")
-        out = [b""] * len(ids)
+        if len(found) == len(ids):
+            return found["decoded"].to_pylist()
+        out = [""] * len(ids)
         for w, x in zip(found["w"].to_pylist(), found["decoded"].to_pylist(), strict=True):
-            out[w] = bytes.fromhex(x)
+            out[w] = x
         return out
 
     def merge_long(self, word: bytes) -> list[int]:
@@ -131,51 +133,37 @@ class Encoder:
                     heapq.heappush(heap, (r, x))
         return [self.ranks[p] for p in parts if p is not None]
 
-    def learn_words(self, words: set[str]) -> dict:
+    def learn(self, words: set[str]) -> dict:
         """Caches (ids as decimal text, number, decoded bytes, ids as int32 bytes) of each word."""
         new = self.missing(self.words, words)
         short = [w for w in new if len(w) <= LONG and len(w.encode()) <= LONG]
         for i in range(0, len(short), AT_ONCE):
             part = short[i : i + AT_ONCE]
-            ids = self.merge_words(part)
-            self.keep(part, ids.to_pylist(), self.decode(ids))
-        long = [w for w in new if len(w) > LONG or len(w.encode()) > LONG]
-        for w in long:
-            ids = self.merge_long(w.encode())
-            self.keep([w], [ids], self.decode([ids]))
+            t = self.merge_words(part)
+            self.keep(part, t["ids"], t["txt"].to_pylist())
+        if len(short) < len(new):
+            for w in [w for w in new if len(w) > LONG or len(w.encode()) > LONG]:
+                ids = self.merge_long(w.encode())
+                self.keep([w], pa.chunked_array([pa.array([ids], pa.list_(pa.int32()))]), [",".join(map(str, ids))])
         return self.words[0]
 
-    def keep(self, words: list[str], ids: list[list[int]], decoded: list[bytes]) -> None:
-        for w, x, d in zip(words, ids, decoded, strict=True):
-            self.words[0][w] = (",".join(map(str, x)).encode(), len(x), d, np.array(x, np.int32).tobytes())
-
-    def cut(self, text: str) -> list[str]:
-        """Pieces that the pattern splits separately: a single space between other characters always begins a word.
-
-        Where a space stands beside other white space, the words themselves are the pieces.
-        """
-        if BESIDE.search(text) or "\0" in text:
-            return self.split(text)
-        return [p for p in text.replace(" ", "\0 ").split("\0") if p]
+    def keep(self, words: list[str], ids: pa.ChunkedArray, txt: list[str]) -> None:
+        flat = ids.combine_chunks()
+        n = np.diff(flat.offsets.to_numpy())
+        raw = flat.flatten().to_numpy().astype(np.int32).tobytes()
+        ends = np.cumsum(n * 4).tolist()
+        rows = zip(txt, n.tolist(), self.decode(ids), [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
+        self.words[0].update(zip(words, rows, strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[list[tuple]]:
-        """For each text, the cached entries of its pieces in order."""
-        cuts = [self.cut(t) for t in texts]
+        """For each text, the cached entries of its words in order."""
+        cuts = [self.split(t) for t in texts]
         need: set[str] = set()
         for c in cuts:
             need.update(c)
-        new = {p: self.split(p) for p in self.missing(self.pieces, need)}
-        words = self.learn_words({w for x in new.values() for w in x})
-        pieces = self.pieces[0]
-        for p, x in new.items():
-            e = [words[w] for w in x]
-            pieces[p] = e[0] if len(e) == 1 else (b",".join([y[0] for y in e]), sum([y[1] for y in e]), b"".join([y[2] for y in e]), b"".join([y[3] for y in e]))
+        entry = self.learn(need).__getitem__
         for c in cuts:
-            yield [pieces[p] for p in c]
-
-
-#: A space beside white space.
-BESIDE = re.compile(r" \s|\s ")
+            yield list(map(entry, c))
 
 
 def encoder(v: Vocabulary) -> Encoder:
@@ -218,8 +206,8 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, with_ids: bool = Fals
             for part in _groups(batch.column("text").to_pylist()):
                 for x in e.encode(part):
                     n.append(sum([y[1] for y in x]))
-                    ids.append(hashlib.sha256(b",".join([y[0] for y in x])).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([y[2] for y in x])).hexdigest())
+                    ids.append(hashlib.sha256(",".join([y[0] for y in x]).encode()).hexdigest())
+                    decoded.append(hashlib.sha256("".join([y[2] for y in x]).encode("latin-1")).hexdigest())
                     if with_ids:
                         raw.append(b"".join([y[3] for y in x]))
             out = [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
@@ -241,7 +229,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(Vocabulary(*shared.value))
         for batch in batches:
-            found = [b for i in range(0, len(batch), 500) for b in e.decode([x or [] for x in batch.column("ids").slice(i, 500).to_pylist()])]
+            found = [b.encode("latin-1") for i in range(0, len(batch), 500) for b in e.decode([x or [] for x in batch.column("ids").slice(i, 500).to_pylist()])]
             yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(found, pa.binary())], [*kept, "decoded"])
 
     d = rows.select(*(F.col(f"`{c}`") for c in kept))
