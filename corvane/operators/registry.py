@@ -40,8 +40,10 @@ class Registry:
         self.aliases = {a.lower(): c.ticker for c in companies for a in (c.ticker, c.name, *c.aliases)}
         longest = sorted(self.aliases, key=len, reverse=True)
         self.pattern = r"(?iU)\b(" + "|".join(re.sub(r"([^\w ])", r"\\\1", a) for a in longest) + r")\b"
-        self._map = F.create_map(*(F.lit(x) for pair in self.aliases.items() for x in pair))
-        self._names = F.create_map(*(F.lit(x) for c in companies for x in (c.ticker, c.name)))
+
+    @staticmethod
+    def _map(pairs: dict[str, str]) -> Column:
+        return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
 
     @property
     def tickers(self) -> list[str]:
@@ -50,7 +52,7 @@ class Registry:
     def mentions(self, text: Column) -> Column:
         """Tickers of all mentions in order."""
         found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(1))
-        return F.filter(F.transform(found, lambda m: F.try_element_at(self._map, F.lower(m))), lambda t: t.isNotNull())
+        return F.filter(F.transform(found, lambda m: F.try_element_at(self._map(self.aliases), F.lower(m))), lambda t: t.isNotNull())
 
     def tickers_in(self, text: Column) -> Column:
         """Distinct tickers by first mention."""
@@ -61,7 +63,7 @@ class Registry:
         return collapsed(F.regexp_replace(text, self.pattern, " "))
 
     def names(self, tickers: Column) -> Column:
-        return F.array_join(F.transform(tickers, lambda t: F.try_element_at(self._names, t)), " ")
+        return F.array_join(F.transform(tickers, lambda t: F.try_element_at(self._map({c.ticker: c.name for c in self.companies}), t)), " ")
 
     def about(self, title: Column, text: Column, feeds: Column) -> Column:
         """What an article is about: companies in its title, or mentioned often enough; else the feeds it came from. Sorted."""
