@@ -237,7 +237,7 @@ def f30(spark, sf_dir):
 # ------------------------------------------------------------------ ingestion
 
 
-@query("s5_validation", f"WITH {RECORDS} SELECT count_if(title <> '') AS raw_records, count_if(title = '') AS invalid_records FROM r")
+@query("s5_validation", f"WITH {RECORDS} SELECT count_if(title <> '')::BIGINT AS raw_records, count_if(title = '')::BIGINT AS invalid_records FROM r")
 def s5(spark, sf_dir):
     r = feeds.documents_as_records(table(spark, sf_dir, "documents"))
     return feeds.validation_counts(r.withColumn("is_valid", feeds.valid_record(F.col("title"), F.col("link"))))
