@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with at least 1/HEAVY of all rows is heavy; so there are at most HEAVY heavy keys at any size.
@@ -45,13 +46,40 @@ def stored(df: DataFrame, label: str, by: tuple[int, list[str]] | None = None) -
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place.getParent())
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    return out
 
 
-def words_of(text: Column) -> Column:
-    """The words [^\\x20\\x09-\\x0D]+ of a text, as an array; none of a null text."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))
-    return F.array_remove(F.split(spaced, " +"), "")
+class Scratch:
+    """A block whose stored() tables go at its end, all but those that keep() names; shuffle files that nothing refers to go too."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> Scratch:
+        self.first = len(_TABLES)
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        for t in tables:
+            self.kept.add(_PATHS.get(id(t)))
+
+    def __exit__(self, failed, *_) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for path in _TABLES[self.first :]:
+            if path not in self.kept:
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        del _TABLES[self.first :]
+        _PATHS.clear()
+        gc.collect()
+        jvm.System.gc()  # the driver's cleaner removes shuffles once their plans are collected
+
+
+_TABLES: list[str] = []
+_PATHS: dict[int, str] = {}
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import lookup, only, stored
+from corvane.llm.common import Scratch, lookup, only, stored
 from corvane.llm.wordhash import shingles, slices, words
 
 #: Words of a window, and of the grams whose least hash is the window's fingerprint.
@@ -129,27 +129,40 @@ class FingerprintIndex:
     def width(self) -> int:
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def push(self, docs: DataFrame, prints: DataFrame) -> None:
-        self.runs.append(Run(stored(docs, "docs", (self.width(), ["sha", "doc_id"])), stored(prints, "prints", (self.width(), ["a", "doc_id", "lo"]))))
+    def sorted_run(self, docs: DataFrame, prints: DataFrame) -> Run:
+        return Run(stored(docs, "docs", (self.width(), ["sha", "doc_id"])), stored(prints, "prints", (self.width(), ["a", "doc_id", "lo"])))
 
     def compact(self) -> None:
         """Merges all runs into one."""
-        runs, self.runs = self.runs, []
-        self.push(_all([r.docs for r in runs]), _all([r.prints for r in runs]))
+        with Scratch(self.spark) as tables:
+            run = self.sorted_run(_all([r.docs for r in self.runs]), _all([r.prints for r in self.runs]))
+            tables.keep(run.docs, run.prints)
+        self.runs = [run]
 
     def add(self, batch: DataFrame) -> DataFrame:
         """One row per document of batch (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text (null: nothing is removed).
 
         Each word that lies in a 50-word window whose words also start in a document of smaller doc_id, in the batch or the index, is
-        removed; the batch then becomes a run, and RUNS runs are compacted. Null and empty texts, and those under 50 words, lose nothing. Rows
+        removed; the batch then becomes a run. Before that, RUNS runs are compacted into one. Null and empty texts, and those under 50 words, lose nothing. Rows
         that repeat a doc_id count as one document and lose nothing to each other. Other columns are ignored.
 
         1. Equal word sequences (by SHA-256) are copies: all but the smallest doc_id lose everything and need no index.
         2. A window's fingerprint is its least 12-gram hash; neighbours share one, so some 5 in 100 windows make a row. The batch's
            fingerprints are merge-joined with each run; those seen in two documents are candidates. 3. Each candidate is verified on the words themselves:
            128-bit digests of all the words under it, and where these differ, of each of its windows. Every step is an aggregate
-           or a join by one key; no pairs of documents are formed, whatever number of them shares a passage.
+           or a join by one key; no pairs of documents are formed, whatever number of them shares a passage. What an earlier
+           document covers whole stays out of the run, as its windows are found in that document.
         """
+        if len(self.runs) >= RUNS:
+            self.compact()
+        with Scratch(self.spark) as tables:
+            result, run = self._added(batch)
+            tables.keep(result, run.docs, run.prints)
+        self.runs.append(run)
+        self.corpus = texts_of(self.corpus, batch.select("doc_id", "text"))
+        return result
+
+    def _added(self, batch: DataFrame) -> tuple[DataFrame, Run]:
         batch = batch.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
         profile = stored(batch.mapInArrow(_profiles, "doc_id long, n_words long, sha string, a array<long>, lo array<int>, hi array<int>"), "profiles")
         new = profile.filter(f"n_words >= {WINDOW} AND doc_id IS NOT NULL")
@@ -159,15 +172,12 @@ class FingerprintIndex:
         copies = stored(marked.filter("copy").select("doc_id", "sha").distinct(), "copies")
         own = only(new, copies, ["doc_id", "sha"], "left_anti")
         prints = own.select("doc_id", F.explode(F.arrays_zip("a", "lo", "hi")).alias("x")).select("x.a", "doc_id", "x.lo", "x.hi")
-        before = list(self.runs)
-        self.push(own.select("sha", "doc_id").dropDuplicates(["sha"]), prints)
-        mine = self.runs[-1].prints
-
+        before, mine = self.runs, stored(prints, "mine")
         keys = mine.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
         hits = _all([keys.filter("x < y").select("a"), *(keys.select("a").join(r.prints.select("a").hint("merge"), "a", "left_semi") for r in before)])
         hits = stored(hits.distinct() if before else hits, "hits")
         many = hits.count()
-        found = stored(_all([only(r.prints, hits, "a", n=many) for r in (*before, self.runs[-1])]), "candidates")
+        found = stored(_all([only(r.prints, hits, "a", n=many) for r in before] + [only(mine, hits, "a", n=many)]), "candidates")
         texts = batch if self.corpus is None else _all([batch, self.corpus.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))])
         ids = stored(found.select("doc_id").distinct(), "ids")
         texts = stored(only(texts, ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
@@ -177,22 +187,21 @@ class FingerprintIndex:
         whole = stored(seen.groupBy("c").agg(F.min("doc_id").alias("x"), F.count("*").alias("n"), F.first("a").alias("b")), "wholes")
         apart = stored(whole.groupBy("b").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("b").alias("a")), "apart")
         seen = stored(lookup(seen, whole.select("c", "x", "n"), "c", "n"), "compared")
-        gone = seen.filter("x < doc_id").select("doc_id", "lo", "hi")
+        gone = gone_whole = seen.filter("x < doc_id").select("doc_id", "lo", "hi")
         open_ = stored(only(seen.filter("x = doc_id"), apart, "a").select("doc_id", "lo", "hi"), "open")
         single = stored(joined(open_).mapInArrow(_windows, "doc_id long, lo int, c binary"), "windows")
         least = stored(single.groupBy("c").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("n")).filter("x < y").drop("y"), "leasts")
         more = lookup(single, least, "c", "n").filter("x < doc_id").select("doc_id", "lo", F.col("lo").alias("hi"))
         gone = stored(_all([gone, more]), "gone")
         cut = stored(joined(only(gone, batch.select("doc_id").distinct(), "doc_id") if self.corpus is not None else gone).mapInArrow(_removed, "doc_id long, n_removed long, kept_sha256 string, kept_text string"), "cut")
-        self.corpus = texts_of(self.corpus, batch)
-        if len(self.runs) >= RUNS:
-            self.compact()
+        fresh = mine.join(gone_whole.select("doc_id", "lo").distinct(), ["doc_id", "lo"], "left_anti").select("a", "doc_id", "lo", "hi")
+        run = self.sorted_run(own.select("sha", "doc_id").dropDuplicates(["sha"]), fresh)
         empty = hashlib.sha256(b"").hexdigest()
         out = marked.join(cut, "doc_id", "left")
         return stored(out.select(
             "doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
             F.when(F.col("copy"), empty).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), F.when(F.col("copy"), "").otherwise(F.col("kept_text")).alias("kept_text"),
-        ), "result")
+        ), "result"), run
 
 
 def texts_of(corpus: DataFrame | None, batch: DataFrame) -> DataFrame:
