@@ -140,7 +140,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0):
             found = set(text.as_py().encode().split())
-            for w in found - known.keys():
+            for w in [w for w in found if w not in known]:
                 known[w] = plain(w.decode()).lower()
             n.update({known[w] for w in found})
             if len(known) > FLUSH:
