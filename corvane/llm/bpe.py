@@ -82,9 +82,9 @@ class Encoder:
         if len(cache[0]) > CACHED:
             cache[:] = [{}, cache[0]]
         young, old = cache
-        lost = keys - young.keys()
-        young.update((k, old[k]) for k in lost & old.keys())
-        return sorted(lost - old.keys())
+        lost = [k for k in keys if k not in young]
+        young.update((k, old[k]) for k in lost if k in old)
+        return sorted(k for k in lost if k not in old)
 
     def merge_words(self, words: list[str]) -> pa.Table:
         """(ids, txt) of each word, txt being the ids in decimal, joined by commas."""
