@@ -212,7 +212,8 @@ def deduplicated(docs: DataFrame, batches: int = 3) -> DataFrame:
     """add() over docs in batches of rising doc_id, each against the runs of those before it. A null id goes with the first batch."""
     spark = docs.sparkSession
     index = FingerprintIndex(spark)
-    cuts = sorted(set(docs.select("doc_id").filter("doc_id IS NOT NULL").approxQuantile("doc_id", [(i + 1) / batches for i in range(batches - 1)], 0.01)))
+    parts = [(i + 1) / batches for i in range(batches - 1)]
+    cuts = sorted(set(docs.select("doc_id").filter("doc_id IS NOT NULL").approxQuantile("doc_id", parts, 0.01))) if parts else []
     bounds = [None, *(int(c) for c in cuts), None]
     results = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
