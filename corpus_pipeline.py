@@ -38,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("byte-level BPE", encode)]
 
-#: SQL can't express the merges of BPE or, at this size, similarity components. tests/llm holds the stages' operators, not yet run(), against brute force.
+#: SQL can't express the merges of BPE or, at this size, similarity components. tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
