@@ -16,9 +16,9 @@ from corvane.llm.common import lookup, only, stored
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words to either side of a protected entity whose co-occurrence with it is counted.
 NEAR = 5
-#: Documents in which term and entity must meet; bits by which the term must reveal the entity: the share alpha of the entity's own
-#: information, and the least chance of the entity given the term.
-SUPPORT, ALPHA, CHANCE = 3, 0.9, 0.5
+#: The share alpha of the entity's own information that the term must reveal, the least chance of the entity given the term, and the
+#: documents at the entity's own rate that are added to those with the term (shrinkage). At 1, a term of one document can just pass.
+ALPHA, CHANCE, PRIOR = 0.9, 0.5, 1
 #: Terms counted in a task before partial counts are passed on.
 FLUSH = 200_000
 
@@ -163,17 +163,19 @@ def disclosing_terms(occurrences: DataFrame, docs: DataFrame, n_docs: int) -> Da
     """(c, t, n, given) of the terms t that disclose entity c by the corpus; given is the chance of c in a document with t.
 
     With N documents, the information of c is log2(N / df(c)) bits. t reveals PMI(c; t) = log2(n(c, t) N / (df(c) df(t))) of them,
-    n(c, t) being the documents where t stands near c. t discloses c if that is ALPHA of c's information or more, n(c, t) / df(t)
-    is CHANCE or more, and n(c, t) is SUPPORT or more. Document frequencies cover the whole corpus: each task counts its terms,
-    and the counts of candidates are summed.
+    n(c, t) being the documents where t stands near c. t discloses c if that is above 0 and ALPHA of c's information or more, and if
+    the chance (n(c, t) + PRIOR df(c) / N) / (df(t) + PRIOR) is CHANCE or more. So terms that stand with c alone pass however rare c
+    is, and others need the more documents the less they are c's own. Document frequencies cover the whole corpus: each task
+    counts its terms, and the counts of candidates are summed.
     """
-    pairs = stored(occurrences.groupBy("c", "t").agg(F.countDistinct("doc_id").alias("n")).filter(F.col("n") >= SUPPORT), "pairs")
+    pairs = stored(occurrences.groupBy("c", "t").agg(F.countDistinct("doc_id").alias("n")).filter("n > 0"), "pairs")
     terms = stored(pairs.filter(F.length("t") > 0).select("t").distinct(), "terms")
     df = only(docs.select("text").mapInArrow(_frequencies, "t binary, df long"), terms, "t").groupBy("t").agg(F.sum("df").alias("df"))
     names = pairs.filter(F.length("t") == 0).select("c", F.col("n").alias("dfc"))
     x = pairs.join(df, "t").join(names, "c")
-    given = F.col("n") / F.col("df")
-    shown = F.log2(F.col("n") * n_docs / (F.col("dfc") * F.col("df"))) >= ALPHA * F.log2(F.lit(n_docs) / F.col("dfc"))
+    given = (F.col("n") + PRIOR * F.col("dfc") / n_docs) / (F.col("df") + PRIOR)
+    pmi = F.log2(F.col("n") * n_docs / (F.col("dfc") * F.col("df")))
+    shown = (pmi > 0) & (pmi >= ALPHA * F.log2(F.lit(n_docs) / F.col("dfc")))
     return x.filter(shown & (given >= CHANCE)).select("c", "t", "n", given.alias("given"))
 
 
