@@ -7,20 +7,21 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import lookup, only, stored
+from corvane.llm.common import lookup, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words to either side of a protected entity whose co-occurrence with it is counted.
-NEAR = 5
 #: The share alpha of the entity's own information that the term must reveal, the least chance of the entity given the term, and the
 #: documents at the entity's own rate that are added to those with the term (shrinkage). At 1, a term of one document can just pass.
 ALPHA, CHANCE, PRIOR = 0.9, 0.5, 1
 #: Terms counted in a task before partial counts are passed on.
 FLUSH = 200_000
+#: Bits of the filter by which documents are searched for disclosing terms; its hits are verified by a join.
+FILTER_BITS = 1 << 26
 
 _AT = re.compile("@")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -64,8 +65,8 @@ def entity(kind: int, value: str) -> bytes:
     return hashlib.blake2b(f"{kind}:{value.lower() if kind == 0 else _DIGITS.sub('', value) if kind > 1 else value}".encode(), digest_size=16).digest()
 
 
-def term_key(term: str) -> bytes:
-    return hashlib.blake2b(term.lower().encode(), digest_size=16).digest()
+def term_key(term: str) -> int:
+    return int.from_bytes(hashlib.blake2b(term.lower().encode(), digest_size=8).digest(), "little", signed=True)
 
 
 def plain(word: str) -> str:
@@ -78,51 +79,36 @@ def text_spans(spans: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{a}:{b}" for k, a, b in spans])
 
 
-def near_terms(text: str, base: list[tuple[int, int, int]]) -> list[tuple[bytes, bytes, int, int]]:
-    """(entity, term, start, end) of the terms within NEAR words of each match, outside all matches; an empty term for the match itself."""
-    out = []
-    for k, a, b in base:
-        left, right = [], []
-        for m in _WORD.finditer(text, b):
-            right.append((m.start(), m.end()))
-            if len(right) >= NEAR:
-                break
-        stop = a
-        while len(left) < NEAR and stop > 0:
-            end = stop
-            while end > 0 and text[end - 1] in "\t\n\x0b\x0c\r ":
-                end -= 1
-            start = end
-            while start > 0 and text[start - 1] not in "\t\n\x0b\x0c\r ":
-                start -= 1
-            if start < end:
-                left.append((start, end))
-            stop = start
-        out.append((entity(k, text[a:b]), b"", a, b))
-        for s, e in (*left, *right):
-            w = text[s:e]
-            if (t := plain(w)) and not any(x < e and s < y for _, x, y in base):
-                s += w.index(t)
-                out.append((entity(k, text[a:b]), term_key(t), s, s + len(t)))
-    return out
+def term_spans(text: str, base: list[tuple[int, int, int]] | None = None) -> Iterator[tuple[str, int, int]]:
+    """(term in lower case, start, end) of all terms of a text, without the words that overlap a match of base (sorted by kind)."""
+    taken = sorted((a, b) for _, a, b in base or [])
+    i = end = 0
+    for m in _WORD.finditer(text):
+        while i < len(taken) and taken[i][0] < m.end():
+            end = max(end, taken[i][1])
+            i += 1
+        if end <= m.start() and (t := plain(m[0])):
+            s = m.start() + m[0].index(t)
+            yield t.lower(), s, s + len(t)
 
 
-_FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<k: int, a: int, b: int>>, near array<struct<c: binary, t: binary, a: int, b: int>>"
+_FOUND = "row binary, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<k: int, a: int, b: int>>, entities array<binary>, terms array<long>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, spans, near = [], [], []
-        for text in batch.column(1):
+        counts, spans, entities, terms = [], [], [], []
+        for text in batch.column("text"):
             t = text.as_py()
             base = base_spans(t)
             kinds = [k for k, _, _ in base]
             counts.append([kinds.count(i) for i in range(4)])
             spans.append([{"k": k, "a": a, "b": b} for k, a, b in base])
-            near.append([{"c": c, "t": x, "a": a, "b": b} for c, x, a, b in near_terms(t, base)])
+            entities.append(list({entity(k, t[a:b]) for k, a, b in base}))
+            terms.append(np.array([term_key(x) for x in {x for x, _, _ in term_spans(t, base)}] if base else [], np.int64))
         kind = pa.list_(pa.struct([("k", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
-        close = pa.list_(pa.struct([("c", pa.binary()), ("t", pa.binary()), ("a", pa.int32()), ("b", pa.int32())]))
-        yield pa.record_batch([batch.column(0), *(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(spans, kind), pa.array(near, close)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "near"])
+        arrays = [*(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(spans, kind), pa.array(entities, pa.list_(pa.binary())), pa.array(terms, pa.list_(pa.int64()))]
+        yield pa.record_batch([batch.column("row"), batch.column("doc_id"), *arrays], ["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms"])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +118,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def part() -> pa.RecordBatch:
         n.pop("", None)
-        out = pa.record_batch([pa.array([term_key(t) for t in n], pa.binary()), pa.array(list(n.values()), pa.int64())], ["t", "df"])
+        out = pa.record_batch([pa.array([term_key(t) for t in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["t", "df"])
         n.clear()
         known.clear()
         return out
@@ -159,47 +145,106 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(sha, pa.string()), pa.array(every, pa.string())], [*kept, "base_sha256", "spans"])
 
 
-def disclosing_terms(occurrences: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
-    """(c, t, n, given) of the terms t that disclose entity c by the corpus; given is the chance of c in a document with t.
+def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
+    """(t, df, given) of the terms t that disclose an entity c by the corpus; given is the greatest chance of such a c in a document with t.
 
     With N documents, the information of c is log2(N / df(c)) bits. t reveals PMI(c; t) = log2(n(c, t) N / (df(c) df(t))) of them,
-    n(c, t) being the documents where t stands near c. t discloses c if that is above 0 and ALPHA of c's information or more, and if
+    n(c, t) being the documents that have both. t discloses c if that is above 0 and ALPHA of c's information or more, and if
     the chance (n(c, t) + PRIOR df(c) / N) / (df(t) + PRIOR) is CHANCE or more. So terms that stand with c alone pass however rare c
     is, and others need the more documents the less they are c's own. Document frequencies cover the whole corpus: each task
-    counts its terms, and the counts of candidates are summed.
+    counts its terms, and the counts are summed.
+
+    Two steps save work and change no result. Entities of the same documents have the same n(c, t), so one of them stands for all. And as
+    n(c, t) is at most df(c), which is at most N, a term with df(t) > (df(c) + PRIOR) / CHANCE - PRIOR can't reach CHANCE, so its pairs aren't made.
     """
-    pairs = stored(occurrences.groupBy("c", "t").agg(F.countDistinct("doc_id").alias("n")).filter("n > 0"), "pairs")
-    terms = stored(pairs.filter(F.length("t") > 0).select("t").distinct(), "terms")
-    df = only(docs.select("text").mapInArrow(_frequencies, "t binary, df long"), terms, "t").groupBy("t").agg(F.sum("df").alias("df"))
-    names = pairs.filter(F.length("t") == 0).select("c", F.col("n").alias("dfc"))
-    x = pairs.join(df, "t").join(names, "c")
+    most = lambda dfc: (dfc + PRIOR) / CHANCE - PRIOR
+    private = found.filter(F.size("entities") > 0)
+    held = stored(private.select("row", F.explode("entities").alias("c")), "held")
+    # A sum of hashes tells which documents an entity has, repeated rows included.
+    whose = [F.sum(F.xxhash64("row", F.lit(i)).cast("decimal(20,0)")).alias(f"h{i}") for i in (0, 1)]
+    names = stored(held.groupBy("c").agg(F.count("*").alias("dfc"), *whose), "names")
+    first = names.groupBy("dfc", "h0", "h1").agg(F.min("c").alias("c")).select("c", F.lit(True).alias("first"))
+    kept = lookup(held, stored(names.select("c", "dfc").join(first, "c", "left"), "classes"), "c", "dfc").filter("first").select("row", "c", "dfc")
+    terms = stored(private.select("row", F.explode("terms").alias("t")), "occurring")
+    df = docs.select("text").mapInArrow(_frequencies, "t long, df long").groupBy("t").agg(F.sum("df").alias("df"))
+    df = stored(terms.groupBy("t").agg(F.count("*").alias("rows")).join(df, "t"), "df")
+    limit = most(names.agg(F.coalesce(F.max("dfc"), F.lit(0)).alias("n")).first()["n"])
+    rare = lookup(terms, df, "t", "rows").filter(F.col("df") <= limit)
+    pairs = rare.join(kept, "row").filter(F.col("df") <= most(F.col("dfc"))).groupBy("c", "t").agg(F.count("*").alias("n"), F.first("df").alias("df"), F.first("dfc").alias("dfc"))
     given = (F.col("n") + PRIOR * F.col("dfc") / n_docs) / (F.col("df") + PRIOR)
     pmi = F.log2(F.col("n") * n_docs / (F.col("dfc") * F.col("df")))
     shown = (pmi > 0) & (pmi >= ALPHA * F.log2(F.lit(n_docs) / F.col("dfc")))
-    return x.filter(shown & (given >= CHANCE)).select("c", "t", "n", given.alias("given"))
+    return pairs.filter(shown & (given >= CHANCE)).groupBy("t").agg(F.first("df").alias("df"), F.max(given).alias("given"))
+
+
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row, t, a, b) of all places in docs (row, text) of the terms t, and of the few others that a filter of FILTER_BITS bits lets through."""
+    bit, size = F.pmod(F.col("t"), F.lit(FILTER_BITS)), 32768
+    parts = terms.groupBy(F.floor(bit / size).cast("int").alias("i")).agg(F.bitmap_construct_agg(bit % size).alias("bits")).collect()
+    made = bytearray(FILTER_BITS // 8)
+    for p in parts:
+        made[p.i * size // 8 : (p.i + 1) * size // 8] = p.bits
+    shared = docs.sparkSession.sparkContext.broadcast(bytes(made))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known = shared.value, {}
+
+        def hit(word: bytes) -> bool:
+            k = term_key(t) & (FILTER_BITS - 1) if (t := plain(word.decode()).lower()) else -1
+            return k >= 0 and bits[k >> 3] >> (k & 7) & 1 > 0
+
+        for batch in batches:
+            rows, keys, starts, ends = [], [], [], []
+            for row, text in zip(batch.column("row"), batch.column("text"), strict=True):
+                t = text.as_py()
+                words = set(t.encode().split())
+                for w in [w for w in words if w not in known]:
+                    known[w] = hit(w)
+                if found := {plain(w.decode()).lower() for w in words if known[w]}:
+                    key, name = {x: term_key(x) for x in found}, row.as_py()
+                    for x, a, b in term_spans(t):
+                        if x in key:
+                            rows.append(name)
+                            keys.append(key[x])
+                            starts.append(a)
+                            ends.append(b)
+                if len(known) > FLUSH:
+                    known.clear()
+            arrays = [pa.array(rows, pa.binary()), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+            yield pa.record_batch(arrays, ["row", "t", "a", "b"])
+
+    return docs.select("row", "text").mapInArrow(search, "row binary, t long, a int, b int")
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text; row is a digest of both, as ids may be null or repeat."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.unhex(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), text))).alias("row"), "doc_id", text.alias("text"))
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
-    """found: one row per document of docs (doc_id, text): doc_id, counts of the patterns, base spans; and terms: the spans of the
-    disclosing terms near them with the chance that each gives its entity away."""
-    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """found: one row per row of docs (row, doc_id, text): row, doc_id, counts of the patterns, base spans; and terms: all places of disclosing
+    terms outside the base spans, whether the document has the entity or not, with the chance that each gives its entity away."""
     found = stored(docs.mapInArrow(_scan, _FOUND), "found")
-    near = stored(found.select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.*"), "near")
-    shown = disclosing_terms(near, docs, found.count()).withColumn("ct", F.concat("c", "t"))
-    marks = lookup(near.filter(F.length("t") > 0).withColumn("ct", F.concat("c", "t")).drop("c", "t"), stored(shown.drop("c", "t"), "shown"), "ct", "n")
-    terms = marks.filter("given IS NOT NULL").groupBy("doc_id").agg(F.collect_set(F.struct("a", "b", "given")).alias("terms"))
-    return found.drop("near").join(stored(terms, "terms"), "doc_id", "left")
+    shown = stored(disclosing_terms(found, docs, found.count()), "shown")
+    places = stored(occurrences(docs, shown), "places")
+    # The count of rows of each term, false hits of the filter too, so that no task gets a hot one.
+    table = places.groupBy("t").agg(F.count("*").alias("rows")).join(shown.select("t", "given"), "t", "left")
+    marks = lookup(places, stored(table, "table"), "t", "rows").filter("given IS NOT NULL")
+    terms = marks.groupBy("row").agg(F.collect_set(F.struct("a", "b", "given")).alias("terms"))
+    out = found.drop("entities", "terms").join(stored(terms, "terms"), "row", "left")
+    return out.withColumn("terms", F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["a"] < t["b"]) & (t["a"] < s["b"]))))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per document of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    The patterns' matches are protected entities. The terms within NEAR words of one that disclose it (see disclosing_terms) are
-    spans too, of kind "term", after the others. So only documents with personal data get terms. Null and empty texts have
-    no spans; rows that repeat a doc_id count as one document and share their terms; a null id gets no terms. Other columns are ignored.
+    The patterns' matches are protected entities. The terms that disclose one of them (see disclosing_terms) are spans too, wherever they
+    stand in any document, of kind "term", after the others. Null and empty texts have no spans; each row counts as a document, whether
+    its doc_id is null, repeats or not. Other columns are ignored.
     """
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return private_spans(docs).mapInArrow(_labelled, schema)
+    return private_spans(with_rows(docs)).mapInArrow(_labelled, schema)
 
 
 def sanitised(docs: DataFrame, remove: float = 0.9) -> DataFrame:
@@ -222,5 +267,5 @@ def sanitised(docs: DataFrame, remove: float = 0.9) -> DataFrame:
                 out.append("".join([*parts, text[end:]]))
             yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "clean_text"])
 
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(private_spans(docs).select("doc_id", "base", "terms"), "doc_id").mapInArrow(write, "doc_id long, clean_text string")
+    texts = with_rows(docs)
+    return texts.join(private_spans(texts).select("row", "base", "terms").dropDuplicates(["row"]), "row").mapInArrow(write, "doc_id long, clean_text string")
