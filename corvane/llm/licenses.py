@@ -25,9 +25,15 @@ KNOWN = [
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
 ]
 
-#: A normalised line that only says who holds the copyright.
+#: Copyright lines as the SQL of op4 has them: body lines that begin with the word go too.
 COPYRIGHT = "^(copyright( |$)|c (19|20)[0-9][0-9]|all rights reserved)"
 
+#: A normalised line that only says who holds the copyright: the word with (c), a year or a placeholder, or with a holder that shows by its last word.
+NOTICE = (
+    "^(copyright (c |by |(19|20)[0-9][0-9]|yyyy|year)|copyright (?!(notice|holder|owner))(.* )?(authors|contributors|developers|inc|ltd|llc|gmbh|corporation|foundation)$"
+    "|c (19|20)[0-9][0-9]|all rights reserved)"
+)
+
 
 def canonical_lines(text: Column) -> Column:
     """The lines of a text in canonical form: lower case, one space for each run of anything but letters, digits and line ends,
@@ -38,7 +44,7 @@ def canonical_lines(text: Column) -> Column:
     for variant, usual in SPELLINGS:
         t = F.replace(t, F.lit(f" {variant} "), F.lit(f" {usual} "))
     lines = F.split(F.regexp_replace(t, " +", " "), "\n")
-    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(COPYRIGHT))
+    return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(NOTICE))
 
 
 def digests(docs: DataFrame) -> DataFrame:
