@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import lookup, stored
+from corvane.llm.wordhash import bounds, hashes, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The share alpha of the entity's own information that the term must reveal, the least chance of the entity given the term, and the
 #: documents at the entity's own rate that are added to those with the term (shrinkage). At 1, a term of one document can just pass.
 ALPHA, CHANCE, PRIOR = 0.9, 0.5, 1
-#: Terms counted in a task before partial counts are passed on.
-FLUSH = 200_000
+#: A term that gives its entity away with this chance or more is removed, others that disclose one are generalised.
+REMOVE = 0.9
+#: Terms of documents that a task holds before their counts are passed on.
+FLUSH = 1_000_000
 #: Bits of the filter by which documents are searched for disclosing terms; its hits are verified by a join.
 FILTER_BITS = 1 << 26
 
@@ -29,7 +34,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: What is cut off around a word, and what makes it a term.
+MARKS = ".,;:!?\"'()[]{}<>|*#%&$-_"
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(MARKS.encode())] = True
+_LETTER[97:123] = _LETTER[128:] = True
 _LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -65,31 +74,60 @@ def entity(kind: int, value: str) -> bytes:
     return hashlib.blake2b(f"{kind}:{value.lower() if kind == 0 else _DIGITS.sub('', value) if kind > 1 else value}".encode(), digest_size=16).digest()
 
 
-def term_key(term: str) -> int:
-    return int.from_bytes(hashlib.blake2b(term.lower().encode(), digest_size=8).digest(), "little", signed=True)
+def _without_marks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of words without the punctuation MARKS around them."""
+    start, end = start.copy(), end.copy()
+    for edge, at, step in ((start, 0, 1), (end, -1, -1)):
+        left = np.arange(len(start))
+        while len(left):
+            left = left[(start[left] < end[left])]
+            left = left[_MARK[data[edge[left] + at]]]
+            edge[left] += step
+    return start, end
 
 
-def plain(word: str) -> str:
-    """A word without the punctuation around it; empty if it isn't a term: under 3 characters, or with no letter."""
-    w = word.strip(".,;:!?\"'()[]{}<>|*#%&$-_")
-    return w if len(w) >= 3 and any(c.isalpha() for c in w) else ""
+@dataclass
+class Terms:
+    """All terms of a slice of texts: text, the key, and the places of the term and of its whole word in code points."""
+
+    text: np.ndarray
+    key: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    word_a: np.ndarray
+    word_b: np.ndarray
+
+
+def terms_of(column: pa.Array) -> Iterator[Terms]:
+    """The terms of a string column, in slices; text numbers its rows.
+
+    A term is a word in lower case without the punctuation around it, of 3 characters or more, with a letter a-z or a character beyond ASCII.
+    Its key is a 64-bit hash. Lower case is taken character by character, so places are those of the original.
+    """
+    for row, data, offsets in slices(pc.utf8_lower(column.fill_null(""))):
+        start, end, first = bounds(data, offsets)
+        begins = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=begins[1:])
+        letters = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(_LETTER[data], out=letters[1:])
+        s, e = _without_marks(data, start, end)
+        ok = np.flatnonzero((begins[e] - begins[s] >= 3) & (letters[e] > letters[s]))
+        of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))[ok]
+        zero = begins[offsets[of]]
+        place = lambda x: (begins[x[ok]] - zero).astype(np.int32)  # noqa: E731, B023
+        yield Terms(of + row, hashes(data, s[ok], e[ok]).view(np.int64), place(s), place(e), place(start), place(end))
 
 
 def text_spans(spans: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{a}:{b}" for k, a, b in spans])
 
 
-def term_spans(text: str, base: list[tuple[int, int, int]] | None = None) -> Iterator[tuple[str, int, int]]:
-    """(term in lower case, start, end) of all terms of a text, without the words that overlap a match of base (sorted by kind)."""
-    taken = sorted((a, b) for _, a, b in base or [])
-    i = end = 0
-    for m in _WORD.finditer(text):
-        while i < len(taken) and taken[i][0] < m.end():
-            end = max(end, taken[i][1])
-            i += 1
-        if end <= m.start() and (t := plain(m[0])):
-            s = m.start() + m[0].index(t)
-            yield t.lower(), s, s + len(t)
+def _outside(spans: list[tuple[int, int, int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the ranges a..b touch no span."""
+    ranges = sorted((x, y) for _, x, y in spans)
+    starts, ends = np.array([x for x, _ in ranges]), np.maximum.accumulate(np.array([y for _, y in ranges]))
+    at = np.searchsorted(ends, a, "right")
+    return (at == len(ends)) | (starts[np.minimum(at, len(ends) - 1)] >= b)
 
 
 _FOUND = "row binary, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<k: int, a: int, b: int>>, entities array<binary>, terms array<long>"
@@ -97,7 +135,7 @@ _FOUND = "row binary, doc_id long, n_email long, n_ip long, n_card long, n_phone
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, spans, entities, terms = [], [], [], []
+        counts, spans, entities = [], [], []
         for text in batch.column("text"):
             t = text.as_py()
             base = base_spans(t)
@@ -105,44 +143,81 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append([kinds.count(i) for i in range(4)])
             spans.append([{"k": k, "a": a, "b": b} for k, a, b in base])
             entities.append(list({entity(k, t[a:b]) for k, a, b in base}))
-            terms.append(np.array([term_key(x) for x in {x for x, _, _ in term_spans(t, base)}] if base else [], np.int64))
+        terms = [np.zeros(0, np.int64)] * len(batch)
+        private = np.flatnonzero([len(x) > 0 for x in spans])
+        for t in terms_of(batch.column("text").take(pa.array(private))):
+            for i in np.unique(t.text).tolist():
+                mine = t.text == i
+                base = [(s["k"], s["a"], s["b"]) for s in spans[private[i]]]
+                terms[private[i]] = np.unique(t.key[mine][_outside(base, t.word_a[mine], t.word_b[mine])])
         kind = pa.list_(pa.struct([("k", pa.int32()), ("a", pa.int32()), ("b", pa.int32())]))
         arrays = [*(pa.array([c[i] for c in counts], pa.int64()) for i in range(4)), pa.array(spans, kind), pa.array(entities, pa.list_(pa.binary())), pa.array(terms, pa.list_(pa.int64()))]
         yield pa.record_batch([batch.column("row"), batch.column("doc_id"), *arrays], ["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "entities", "terms"])
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial document frequencies of all terms."""
-    n: Counter[str] = Counter()
-    known: dict[bytes, str] = {}
+@dataclass(frozen=True)
+class Filter:
+    """A bitmap of FILTER_BITS bits over the keys of terms, whose size doesn't grow with them: it lets through all the terms that it was made of and,
+    as it fills, others, which a join by key drops."""
 
-    def part() -> pa.RecordBatch:
-        n.pop("", None)
-        out = pa.record_batch([pa.array([term_key(t) for t in n], pa.int64()), pa.array(list(n.values()), pa.int64())], ["t", "df"])
-        n.clear()
-        known.clear()
-        return out
+    bits: Broadcast
 
-    for batch in batches:
-        for text in batch.column(0):
-            found = set(text.as_py().encode().split())
-            for w in [w for w in found if w not in known]:
-                known[w] = plain(w.decode()).lower()
-            n.update({known[w] for w in found})
-            if len(known) > FLUSH:
-                yield part()
-    yield part()
+    @classmethod
+    def of(cls, terms: DataFrame) -> Filter:
+        bit, size = F.pmod(F.col("t"), F.lit(FILTER_BITS)), 32768
+        parts = terms.groupBy(F.floor(bit / size).cast("int").alias("i")).agg(F.bitmap_construct_agg(bit % size).alias("bits")).collect()
+        made = bytearray(FILTER_BITS // 8)
+        for p in parts:
+            made[p.i * size // 8 : (p.i + 1) * size // 8] = p.bits
+        return cls(terms.sparkSession.sparkContext.broadcast(bytes(made)))
 
+    def test(self, keys: np.ndarray) -> np.ndarray:
+        bit = keys & (FILTER_BITS - 1)
+        return np.frombuffer(self.bits.value, np.uint8)[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sha, every = [], []
-        for base, terms in zip(batch.column("base").to_pylist(), batch.column("terms").to_pylist(), strict=True):
-            b = [(s["k"], s["a"], s["b"]) for s in base or []]
-            sha.append(hashlib.sha256(text_spans(b).encode()).hexdigest())
-            every.append(text_spans([*b, *sorted({(4, s["a"], s["b"]) for s in terms or []})]))
-        kept = ["doc_id", "n_email", "n_ip", "n_card", "n_phone"]
-        yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(sha, pa.string()), pa.array(every, pa.string())], [*kept, "base_sha256", "spans"])
+
+def frequencies(docs: DataFrame, kept: Filter) -> DataFrame:
+    """(t, df): in how many documents each term that kept lets through stands. Tasks count first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def part() -> pa.RecordBatch:
+            keys, df = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+            return pa.record_batch([pa.array(keys), pa.array(df)], ["t", "df"])
+
+        for batch in batches:
+            for t in terms_of(batch.column(0)):
+                good = kept.test(t.key)
+                text, key = t.text[good], t.key[good]
+                order = np.lexsort((text, key))
+                text, key = text[order], key[order]
+                held.append(key[np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])[: len(key)]])
+                n += len(held[-1])
+                if n > FLUSH:
+                    yield part()
+                    held, n = [], 0
+        yield part()
+
+    return docs.select("text").mapInArrow(count, "t long, df long").groupBy("t").agg(F.sum("df").alias("df"))
+
+
+def _labelled(remove: float):
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sha, every, gone, general = [], [], [], []
+            for base, terms in zip(batch.column("base").to_pylist(), batch.column("terms").to_pylist(), strict=True):
+                b = [(s["k"], s["a"], s["b"]) for s in base or []]
+                given = {(4, s["a"], s["b"]): s["given"] for s in terms or []}
+                sha.append(hashlib.sha256(text_spans(b).encode()).hexdigest())
+                every.append(text_spans([*b, *sorted(given)]))
+                gone.append(sum(g >= remove for g in given.values()))
+                general.append(len(given) - gone[-1])
+            kept = ["doc_id", "n_email", "n_ip", "n_card", "n_phone"]
+            arrays = [pa.array(sha, pa.string()), pa.array(every, pa.string()), pa.array(gone, pa.int64()), pa.array(general, pa.int64())]
+            yield pa.record_batch([*(batch.column(c) for c in kept), *arrays], [*kept, "base_sha256", "spans", "n_removed", "n_generalised"])
+
+    return label
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int) -> DataFrame:
@@ -166,8 +241,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int) -> DataFram
     first = names.groupBy("dfc", "h0", "h1").agg(F.min("c").alias("c")).select("c", F.lit(True).alias("first"))
     kept = lookup(held, stored(names.select("c", "dfc").join(first, "c", "left"), "classes"), "c", "dfc").filter("first").select("row", "c", "dfc")
     terms = stored(private.select("row", F.explode("terms").alias("t")), "occurring")
-    df = docs.select("text").mapInArrow(_frequencies, "t long, df long").groupBy("t").agg(F.sum("df").alias("df"))
-    df = stored(terms.groupBy("t").agg(F.count("*").alias("rows")).join(df, "t"), "df")
+    rows = stored(terms.groupBy("t").agg(F.count("*").alias("rows")), "rows")
+    df = stored(rows.join(frequencies(docs, Filter.of(rows)), "t"), "df")
     limit = most(names.agg(F.coalesce(F.max("dfc"), F.lit(0)).alias("n")).first()["n"])
     rare = lookup(terms, df, "t", "rows").filter(F.col("df") <= limit)
     pairs = rare.join(kept, "row").filter(F.col("df") <= most(F.col("dfc"))).groupBy("c", "t").agg(F.count("*").alias("n"), F.first("df").alias("df"), F.first("dfc").alias("dfc"))
@@ -178,40 +253,15 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, n_docs: int) -> DataFram
 
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(row, t, a, b) of all places in docs (row, text) of the terms t, and of the few others that a filter of FILTER_BITS bits lets through."""
-    bit, size = F.pmod(F.col("t"), F.lit(FILTER_BITS)), 32768
-    parts = terms.groupBy(F.floor(bit / size).cast("int").alias("i")).agg(F.bitmap_construct_agg(bit % size).alias("bits")).collect()
-    made = bytearray(FILTER_BITS // 8)
-    for p in parts:
-        made[p.i * size // 8 : (p.i + 1) * size // 8] = p.bits
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(made))
+    """(row, t, a, b) of all places in docs (row, text) of the terms t, and of the few others that the filter lets through."""
+    kept = Filter.of(terms)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known = shared.value, {}
-
-        def hit(word: bytes) -> bool:
-            k = term_key(t) & (FILTER_BITS - 1) if (t := plain(word.decode()).lower()) else -1
-            return k >= 0 and bits[k >> 3] >> (k & 7) & 1 > 0
-
         for batch in batches:
-            rows, keys, starts, ends = [], [], [], []
-            for row, text in zip(batch.column("row"), batch.column("text"), strict=True):
-                t = text.as_py()
-                words = set(t.encode().split())
-                for w in [w for w in words if w not in known]:
-                    known[w] = hit(w)
-                if found := {plain(w.decode()).lower() for w in words if known[w]}:
-                    key, name = {x: term_key(x) for x in found}, row.as_py()
-                    for x, a, b in term_spans(t):
-                        if x in key:
-                            rows.append(name)
-                            keys.append(key[x])
-                            starts.append(a)
-                            ends.append(b)
-                if len(known) > FLUSH:
-                    known.clear()
-            arrays = [pa.array(rows, pa.binary()), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
-            yield pa.record_batch(arrays, ["row", "t", "a", "b"])
+            for t in terms_of(batch.column("text")):
+                hit = kept.test(t.key)
+                arrays = [batch.column("row").take(pa.array(t.text[hit])), pa.array(t.key[hit]), pa.array(t.a[hit]), pa.array(t.b[hit])]
+                yield pa.record_batch(arrays, ["row", "t", "a", "b"])
 
     return docs.select("row", "text").mapInArrow(search, "row binary, t long, a int, b int")
 
@@ -236,18 +286,18 @@ def private_spans(docs: DataFrame) -> DataFrame:
     return out.withColumn("terms", F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["a"] < t["b"]) & (t["a"] < s["b"]))))
 
 
-def personal_data(docs: DataFrame) -> DataFrame:
-    """One row per document of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+def personal_data(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
+    """One row per document of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_removed, n_generalised.
 
     The patterns' matches are protected entities. The terms that disclose one of them (see disclosing_terms) are spans too, wherever they
-    stand in any document, of kind "term", after the others. Null and empty texts have no spans; each row counts as a document, whether
-    its doc_id is null, repeats or not. Other columns are ignored.
+    stand in any document, of kind "term", after the others; n_removed and n_generalised say what sanitised() does with them. Null and
+    empty texts have no spans; each row counts as a document, whether its doc_id is null, repeats or not. Other columns are ignored.
     """
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return private_spans(with_rows(docs)).mapInArrow(_labelled, schema)
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_removed long, n_generalised long"
+    return private_spans(with_rows(docs)).mapInArrow(_labelled(remove), schema)
 
 
-def sanitised(docs: DataFrame, remove: float = 0.9) -> DataFrame:
+def sanitised(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     """docs (doc_id, text) with clean_text: entities become their kind in brackets; a disclosing term is removed where it gives its
     entity away with a chance of remove or more, and is otherwise generalised to [NAME] (capitalised) or [TERM]."""
 

@@ -47,11 +47,18 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash, first): byte ranges and hashes of the words [^\\x20\\x09-\\x0D]+; words of text i are first[i]:first[i + 1]."""
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges start..end."""
+    n = len(data)
+    total = np.zeros(n + 1, _U)
+    np.cumsum((data.astype(_U) + _U(1)) * powers(_R, n), out=total[1:])
+    h = (total[end] - total[start]) * powers(_RINV, n + 1)[start]
+    return mix(h + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): byte ranges of the words [^\\x20\\x09-\\x0D]+; words of text i are first[i]:first[i + 1]."""
     n = len(data)
-    if lower:
-        data = _LOWER[data]
     inside = np.zeros(n + 2, np.int8)
     inside[1:-1] = ~_SPACE[data]
     step = np.diff(inside)
@@ -61,11 +68,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     cut = cut[(inside[cut] == 1) & (inside[cut + 1] == 1)]
     opens[cut] = closes[cut] = True
     start, end = np.flatnonzero(opens), np.flatnonzero(closes)
-    total = np.zeros(n + 1, _U)
-    p = powers(_R, n)
-    np.cumsum((data.astype(_U) + _U(1)) * p, out=total[1:])
-    h = (total[end] - total[start]) * powers(_RINV, n + 1)[start]
-    return start, end, mix(h + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93)), np.searchsorted(start, offsets)
+    return start, end, np.searchsorted(start, offsets)
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash, first) of the words, as bounds() finds them; lower: hashes of a-z for A-Z."""
+    start, end, first = bounds(data, offsets)
+    return start, end, hashes(_LOWER[data] if lower else data, start, end), first
 
 
 _MULT = [int(m) | 1 for m in np.random.RandomState(7).randint(1, 2**62, 64, dtype=np.int64)]
