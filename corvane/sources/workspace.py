@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,17 +25,66 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, label: str, by: tuple[int, list[str]] | None = None) -> DataFrame:
+def stored(df: DataFrame, label: str, by: tuple[int, list[str]] | None = None, buckets: tuple[int, str, list[str]] | None = None) -> DataFrame:
     """Writes df to a table in the shared folder and reads it again, so that lineage ends there and lost executors cost no recomputation.
 
-    The table goes when the driver's JVM ends. by: (partitions, columns) to range-sort by first.
+    The table goes with the Scratch block that it stands in, else when the driver's JVM ends. by: (partitions, columns) to range-sort by
+    first. buckets: (number, key, columns to sort each by): a join by the key then needs no shuffle of this side.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{uuid.uuid4().hex}/{label}"
+    name = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/corvane/{name}/{label}"
     if by:
         df = df.repartitionByRange(by[0], *by[1]).sortWithinPartitions(*by[1])
-    df.write.parquet(path)
+    if buckets:
+        n, key, order = buckets
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(*order).option("path", path).saveAsTable(f"corvane_{name}")
+    else:
+        df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place.getParent())
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.table(f"corvane_{name}") if buckets else spark.read.schema(df.schema).parquet(path)
+    out.corvane_table = (path, f"corvane_{name}" if buckets else None)
+    if open_ := getattr(_LOCAL, "open", None):
+        open_[-1].append(out.corvane_table)
+    return out
+
+
+def remove(spark: SparkSession, path: str, name: str | None) -> None:
+    """Deletes a stored() table."""
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """A block whose thread's stored() tables go at its end, all but those that keep() names, which pass to the block around it; shuffle files that nothing
+    refers to go too."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.kept, self.tables = spark, set(), []
+
+    def __enter__(self) -> Scratch:
+        if not hasattr(_LOCAL, "open"):
+            _LOCAL.open = []
+        _LOCAL.open.append(self.tables)
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept |= {t.corvane_table for t in tables}
+
+    def __exit__(self, failed, *_) -> None:
+        _LOCAL.open.pop()
+        for t in self.tables:
+            if t not in self.kept:
+                remove(self.spark, *t)
+            elif _LOCAL.open:
+                _LOCAL.open[-1].append(t)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # the driver's cleaner removes shuffles once their plans are collected
+
+
+#: The lists of tables of the Scratch blocks that are open in a thread.
+_LOCAL = threading.local()
