@@ -36,3 +36,18 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stored(ordered(moved), "edges")
         if not edges.head(1):
             return labels
+
+
+def roots(parents: DataFrame) -> DataFrame:
+    """(node, component) of a forest of (a, b), where each b has one a < b: every node's root, which is the smallest of its tree. By pointer jumping
+    alone, so in as many rounds as the logarithm of the depth."""
+    p = stored(parents.select(F.col("b").alias("node"), F.col("a").alias("p")), "parents")
+    while True:
+        up = p.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+        jumped = p.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p"), F.col("pp").isNotNull().alias("moved"))
+        jumped = stored(jumped, "parents")
+        p = jumped.select("node", "p")
+        if not jumped.filter("moved").head(1):
+            break
+    top = p.select("p").distinct()
+    return p.withColumnRenamed("p", "component").unionByName(top.select(F.col("p").alias("node"), F.col("p").alias("component")))
