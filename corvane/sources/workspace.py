@@ -25,36 +25,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, label: str, by: tuple[int, list[str]] | None = None, buckets: tuple[int, str, list[str]] | None = None) -> DataFrame:
+def stored(df: DataFrame, label: str, by: tuple[int, list[str]] | None = None) -> DataFrame:
     """Writes df to a table in the shared folder and reads it again, so that lineage ends there and lost executors cost no recomputation.
 
     The table goes with the Scratch block that it stands in, else when the driver's JVM ends. by: (partitions, columns) to range-sort by
-    first. buckets: (number, key, columns to sort each by): a join by the key then needs no shuffle of this side.
+    first.
     """
     spark = df.sparkSession
-    name = uuid.uuid4().hex
-    path = f"{shared_dir(spark)}/corvane/{name}/{label}"
+    path = f"{shared_dir(spark)}/corvane/{uuid.uuid4().hex}/{label}"
     if by:
         df = df.repartitionByRange(by[0], *by[1]).sortWithinPartitions(*by[1])
-    if buckets:
-        n, key, order = buckets
-        df.repartition(n, key).write.bucketBy(n, key).sortBy(*order).option("path", path).saveAsTable(f"corvane_{name}")
-    else:
-        df.write.parquet(path)
+    df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place.getParent())
-    out = spark.table(f"corvane_{name}") if buckets else spark.read.schema(df.schema).parquet(path)
-    out.corvane_table = (path, f"corvane_{name}" if buckets else None)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.corvane_table = path
     if open_ := getattr(_LOCAL, "open", None):
         open_[-1].append(out.corvane_table)
     return out
 
 
-def remove(spark: SparkSession, path: str, name: str | None) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     """Deletes a stored() table."""
-    if name:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -79,7 +72,7 @@ class Scratch:
         _LOCAL.open.pop()
         for t in self.tables:
             if t not in self.kept:
-                remove(self.spark, *t)
+                remove(self.spark, t)
             elif _LOCAL.open:
                 _LOCAL.open[-1].append(t)
         gc.collect()
