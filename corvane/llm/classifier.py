@@ -11,20 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.wordhash import mix, slices, words
+from corvane.sources.workspace import stored
 
 _U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MULT = [_U(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 @dataclass(frozen=True)
 class Settings:
-    """rows: the most labelled rows to train on (those of least MD5 of their doc_id), which bounds the driver's memory. bits: of the hash
-    buckets that words and n-grams share. dims: of the vectors. rate falls to 0 over epochs; spread is how strongly a document's
-    gradient, shared by all its features, moves each of them."""
+    """rows, bytes: the most labelled rows to train on, and of their texts together; rows come by the MD5 of their doc_id, and one whose text doesn't
+    fit any more is left out. Both bound the driver's memory. bits: of the hash buckets that words and n-grams share. marks: whether a word
+    that repeats a near one counts as a token of its own. dims: of the vectors. rate falls to 0 over epochs; spread is how strongly a
+    document's gradient, shared by all its features, moves each of them."""
 
     rows: int = 6000
+    bytes: int = 64 << 20
+    marks: bool = True
     bits: int = 18
     dims: int = 8
     epochs: int = 4
@@ -46,19 +48,21 @@ class Model:
         return (self.vectors @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
-def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text) of each word, of a mark for each word that repeats the one 1, 2, 3 or 4 before, and of each 3- and 4-byte gram
-    within a word and one boundary on either side."""
+def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, text) of each word, of a mark for each word that repeats the one 1, 2, 3 or 4 before, and of each 3- and 4-character
+    gram within a word and one boundary on either side."""
     _, _, h, first = words(data, offsets)
-    shift = _U(64 - bits)
+    shift = _U(64 - s.bits)
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     yield (h >> shift).astype(np.int64), of
-    for lag in range(1, 5):
+    for lag in range(1, 5) if s.marks else ():
         again = of[lag:][(h[lag:] == h[:-lag]) & (of[lag:] == of[:-lag])]
         yield np.full(len(again), int(mix(np.array([lag], _U))[0] >> shift), np.int64), again
-    space = _SPACE[data]
-    x = np.where(space, np.uint8(32), data).astype(_U)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    x = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    begins = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(begins[offsets]))
+    space = (x == 32) | ((x >= 9) & (x <= 13))
+    x = np.where(space, np.uint32(32), x).astype(_U)
     for n in (3, 4):
         k = len(x) - n + 1
         if k <= 0:
@@ -77,7 +81,7 @@ def train(texts: pa.Array, labels: np.ndarray, s: Settings = Settings()) -> Mode
     m.layer[:] = rng.uniform(-0.1, 0.1, m.layer.shape)
     docs: list[tuple[np.ndarray, np.ndarray]] = []
     for row, data, offsets in slices(texts):
-        found = list(features(data, offsets, s.bits))
+        found = list(features(data, offsets, s))
         bucket, text = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         order = np.argsort(text, kind="stable")
         bounds = np.searchsorted(text[order], np.arange(len(offsets)))
@@ -106,12 +110,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> pa.Table:
-    """At most s.rows whole texts with their label, none held out. Ids with differing labels and labels other than 0 and 1 are left out."""
+    """At most s.rows whole texts of s.bytes together, with their label, none held out. Ids with differing labels and labels other than 0 and 1 are left out."""
     rows = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("most")).filter("label = most")
     ids = rows.select("doc_id", "label", F.md5(F.col("doc_id").cast("string")).alias("m")).orderBy("m").limit(s.rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("m").limit(s.rows)
-    return texts.select("text", F.col("label").cast("long").alias("label")).toArrow()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("n", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    texts = stored(texts, "labelled")
+    fits, left = [], s.bytes
+    for r in texts.select("doc_id", "m", "n").orderBy("m", "n").limit(s.rows).collect():
+        if r.n <= left:
+            fits.append((r.doc_id, r.n))
+            left -= r.n
+    chosen = docs.sparkSession.createDataFrame(fits, "doc_id long, n long").distinct()
+    found = texts.join(F.broadcast(chosen), ["doc_id", "n"]).orderBy("m", "n").limit(max(len(fits), 1))
+    return found.select("text", F.col("label").cast("long").alias("label")).toArrow()
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s: Settings = Settings()) -> DataFrame:
@@ -128,16 +140,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, s
         table, bias = train(found["text"].combine_chunks(), y, s).odds()
     else:
         table, bias = np.zeros(1 << s.bits), 0.0 if not len(y) else 20.0 * (2 * y[0] - 1)
-    shared = docs.sparkSession.sparkContext.broadcast((table, float(bias), s.bits))
+    shared = docs.sparkSession.sparkContext.broadcast((table, float(bias), s))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, start, bits = shared.value
+        weights, start, settings = shared.value
         for batch in batches:
             out = []
             for _, data, offsets in slices(batch.column("text")):
                 n = len(offsets) - 1
                 total, count = np.zeros(n), np.zeros(n)
-                for bucket, text in features(data, offsets, bits):
+                for bucket, text in features(data, offsets, settings):
                     total += np.bincount(text, weights[bucket], n)
                     count += np.bincount(text, minlength=n)
                 out.append(1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + start, -500, 500))))

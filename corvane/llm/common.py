@@ -1,14 +1,14 @@
-"""What the operators share: tables in the shared folder, skew-safe lookups, row removal, components."""
+"""What the operators share: skew-safe lookups, row keys, row removal, tables that go."""
 
 from __future__ import annotations
 
-import gc
-import uuid
+from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.sources.workspace import shared_dir
+from corvane.sources.workspace import Scratch, stored
 
 #: A key with at least 1/HEAVY of all rows is heavy; so there are at most HEAVY heavy keys at any size.
 HEAVY = 256
@@ -18,53 +18,43 @@ BROADCAST_ROWS = 1_000_000
 SPACES = "\t\n\x0b\x0c\r "
 
 
-def stored(df: DataFrame, label: str, by: tuple[int, list[str]] | None = None) -> DataFrame:
-    """Writes df to a table in the shared folder and reads it again, so that lineage ends there and lost executors cost no recomputation.
+def scratched(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f (docs, ...), whose stored() tables go when it returns, but for its result, which is stored too."""
 
-    The table goes when the driver's JVM ends. by: (partitions, columns) to range-sort by first.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane/{uuid.uuid4().hex}/{label}"
-    if by:
-        df = df.repartitionByRange(by[0], *by[1]).sortWithinPartitions(*by[1])
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place.getParent())
-    _TABLES.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = path
-    return out
-
-
-class Scratch:
-    """A block whose stored() tables go at its end, all but those that keep() names; shuffle files that nothing refers to go too."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.kept = spark, set()
-
-    def __enter__(self) -> Scratch:
-        self.first = len(_TABLES)
-        return self
-
-    def keep(self, *tables: DataFrame) -> None:
-        for t in tables:
-            self.kept.add(_PATHS.get(id(t)))
-
-    def __exit__(self, failed, *_) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for path in _TABLES[self.first :]:
-            if path not in self.kept:
-                place = jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        del _TABLES[self.first :]
-        _PATHS.clear()
-        gc.collect()
-        jvm.System.gc()  # the driver's cleaner removes shuffles once their plans are collected
-
-
-_TABLES: list[str] = []
-_PATHS: dict[int, str] = {}
+    @wraps(f)
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        with Scratch(docs.sparkSession) as tables:
+            found = f(docs, *args, **more)
+            found = found if hasattr(found, "corvane_table") else stored(found, f.__name__)
+            tables.keep(found)
+        return found
+
+    return run
+
+
+def row_key(text_sha256: Column) -> Column:
+    """16 bytes that name a row by its doc_id, which may be null or repeat, and the SHA-256 of its text in hex."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_sha256)))
+
+
+def sha256(text: str = "text") -> Column:
+    """Of a text; null counts as empty."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores as make it differ from all columns of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose row_key() is in gone (key); all columns stay."""
+    name = free_name(docs, "row_key")
+    rows = docs.withColumn(name, row_key(sha256()))
+    return only(rows, gone.select(F.col("key").alias(name)).distinct(), name, "left_anti").drop(name)
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import lookup, only, stored
+from corvane.llm.common import free_name, lookup, only, row_key, scratched, sha256, without_rows
+from corvane.sources.workspace import stored
 
 
 def md5_128(text: Column) -> Column:
@@ -15,6 +16,7 @@ def md5_128(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+@scratched
 def exact_groups(docs: DataFrame, keep: str = "min", digest: Callable[[Column], Column] = md5_128) -> DataFrame:
     """One row per document of docs (doc_id, text, ...): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -49,6 +51,13 @@ def exact_groups(docs: DataFrame, keep: str = "min", digest: Callable[[Column],
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "min") -> DataFrame:
-    """docs without the copies that exact_groups() drops; all columns stay."""
-    gone = stored(exact_groups(docs, keep).filter("NOT kept").select("doc_id"), "copies")
-    return only(docs, gone.filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti")
+    """docs with one row of each group of equal texts, that which exact_groups() keeps; all columns stay. Of rows that repeat both id and text, one stays."""
+    verdicts = exact_groups(docs, keep).select("kept", row_key(F.col("text_sha256")).alias("key"))
+    seen = stored(verdicts.groupBy("key").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1"), "copies")
+    rest = without_rows(docs, seen.filter("NOT kept"))
+    twice = seen.filter("kept").select("key")
+    if not twice.head(1):
+        return rest
+    name = free_name(docs, "row_key")
+    again = only(rest.withColumn(name, row_key(sha256())), twice.withColumnRenamed("key", name), name)
+    return without_rows(rest, twice).unionByName(again.dropDuplicates([name]).drop(name))

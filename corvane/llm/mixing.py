@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACES, stored
+from corvane.llm.common import SPACES, free_name, only, row_key, scratched, sha256
+from corvane.sources.workspace import stored
 
 #: Rows that one bucket of the running sums holds on average.
 BUCKET_ROWS = 20_000
@@ -54,7 +55,8 @@ def training_time(part: Column, slope: Column) -> Column:
     return F.when(slope == 0, part).otherwise((root - (1 - slope)) / (2 * slope))
 
 
-def mixture(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0, by: str = "source") -> DataFrame:
+@scratched
+def mixture(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0, by: str = "source", row: str | None = None) -> DataFrame:
     """One row per document of docs (doc_id, text, source column): doc_id, size, source_size, target, taken, passes, position.
 
     Each source is one endless tape of its documents in a hashed order. The mix reads the tape up to the source's target, so a
@@ -65,11 +67,14 @@ def mixture(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0, b
     Running sums are built from bucket sums, so that no task gets a whole source: buckets of the hashed order, of BUCKET_ROWS rows
     on average, are summed, their sums are accumulated (a row a bucket), and only inside a bucket are rows put in order.
     Ties in the hashed order go by doc_id, then size; rows that are equal in both are interchangeable. Sizes of 0 take 0; an empty
-    table gives no rows. A null source is a source of its own. Other columns are ignored.
+    table gives no rows. A null source is a source of its own. Other columns are ignored, but for row, which is passed on and breaks
+    further ties.
     """
-    d = docs.select("doc_id", F.col(by).cast("string").alias("source"), count_words(F.col("text")).alias("size"))
-    order = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}" if seed else "")))
-    d = stored(d.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))).withColumn("order", order), "sizes")
+    own = [row] if row else []
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), sha256()))  # null ids are spread by their texts
+    order = F.md5(F.concat(name, F.lit(f":{seed}" if seed else "")))
+    d = docs.select("doc_id", F.col(by).cast("string").alias("source"), count_words(F.col("text")).alias("size"), order.alias("order"), *own)
+    d = stored(d.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))), "sizes")
     n = d.count()
     buckets = max(1, n // BUCKET_ROWS, min(1024, n // 50))
     first = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
@@ -81,7 +86,7 @@ def mixture(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0, b
     run = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("base", F.coalesce(F.sum("bucket_size").over(run), F.lit(0))).select("source_key", "bucket", "base", "bucket_rows")
     starts = stored(starts.drop("bucket_rows").join(targets.drop("n"), "source_key"), "starts")
-    inside = Window.partitionBy("source_key", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "bucket").orderBy("order", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["source_key", "bucket"])
     begin, size = F.col("base") + F.col("before"), F.col("size")
     demand = F.floor(F.col("target") + 0.5)
@@ -90,7 +95,7 @@ def mixture(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0, b
     passes = F.when(size == 0, F.lit(0)).otherwise(F.floor(F.col("taken") / F.greatest(size, F.lit(1)) + 0.5)).cast("int")
     at = training_time(F.least(begin / F.greatest(F.col("target"), F.lit(1.0)), F.lit(1.0)), F.col("slope"))
     d = d.withColumn("position", F.when(F.col("taken") > 0, F.abs(at))).withColumn("passes", passes)
-    out = d.select("doc_id", "size", "source_size", "target", "taken", "passes", "position", begin.alias("tape"), "slope")
+    out = d.select("doc_id", "size", "source_size", "target", "taken", "passes", "position", begin.alias("tape"), "slope", *own)
     return stored(out, "mixture")
 
 
@@ -101,14 +106,20 @@ def ranged(m: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, share: float = 1.5, most: int = 2, seed: int = 0, by: str = "source") -> DataFrame:
-    """docs as training reads them: each document as often as mixture() takes it (to the nearest whole pass), range-sorted by the
-    training position of each pass; documents that the mix doesn't reach go. All columns stay. Rows that repeat a doc_id multiply with
-    each other's passes only as often as they repeat; a null id is left out, as nothing can be joined to it."""
-    m = mixture(docs, share, most, seed, by).filter("passes > 0 AND doc_id IS NOT NULL")
-    m = m.groupBy("doc_id").agg(F.max("passes").alias("passes"), F.min("tape").alias("tape"), F.first("source_size").alias("ss"), F.first("target").alias("tg"), F.first("slope").alias("sl"))
-    m = m.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("k"), "tape", "ss", "tg", "sl")
-    m = m.select("doc_id", training_time(F.least((F.col("tape") + F.col("k") * F.col("ss")) / F.col("tg"), F.lit(1.0)), F.col("sl")).alias("at__"))
-    rows = docs.join(stored(m, "passes"), "doc_id")
+    """docs as training reads them: each row as often as mixture() takes it (to the nearest whole pass), range-sorted by the
+    training position of each pass; rows that the mix doesn't reach go. All columns stay. A row is known by its id, source and text, so rows with a
+    null id and with a repeated one count for themselves; rows equal in all three share what they take together."""
+    key, at = free_name(docs, "row_key"), free_name(docs, "position")
+    source = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("-"))
+    rows = docs.withColumn(key, row_key(F.concat(sha256(), source)))
+    every = mixture(rows.select("doc_id", "text", F.col(by), F.col(key)), share, most, seed, by, key)
+    m = every.filter("passes > 0").select(key, F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("k"), "tape", "source_size", "target", "slope")
+    time = training_time(F.least((F.col("tape") + F.col("k") * F.col("source_size")) / F.col("target"), F.lit(1.0)), F.col("slope"))
+    m = stored(m.select(key, time.alias(at)), "passes")
+    same = stored(every.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), "equal")
+    if same.head(1):  # m has the passes of all the equal rows, so one of them is enough
+        rows = only(rows, same, key, "left_anti").unionByName(only(rows, same, key).dropDuplicates([key]))
+    found = rows.join(m, key)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "at__", "doc_id").sortWithinPartitions("at__", "doc_id")
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = found.repartitionByRange(n, at, "doc_id").sortWithinPartitions(at, "doc_id")
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns))

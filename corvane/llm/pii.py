@@ -14,8 +14,9 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import lookup, stored
+from corvane.llm.common import lookup, scratched
 from corvane.llm.wordhash import bounds, hashes, slices
+from corvane.sources.workspace import stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: The share alpha of the entity's own information that the term must reveal, the least chance of the entity given the term, and the
@@ -286,6 +287,7 @@ def private_spans(docs: DataFrame) -> DataFrame:
     return out.withColumn("terms", F.filter("terms", lambda t: ~F.exists("base", lambda s: (s["a"] < t["b"]) & (t["a"] < s["b"]))))
 
 
+@scratched
 def personal_data(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     """One row per document of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_removed, n_generalised.
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACES, lookup, only, stored
+from corvane.llm.common import SPACES, free_name, lookup, only, row_key, scratched, sha256
+from corvane.sources.workspace import stored
 
 SYMBOLS = "#*$%&|<>"
 
@@ -26,7 +27,6 @@ class Rules:
     blocked: float = 0.90
 
 
-
 def _let(value: str, name: str, body: str) -> str:
     """SQL for body with name bound to value, which is then computed once a row; a plain nested expression might run once an element."""
     return f"transform(array({value}), {name} -> {body})[0]"
@@ -85,6 +85,7 @@ def host_rates(stats: DataFrame) -> DataFrame:
     return hosts.join(F.broadcast(prior)).select("host_key", "n", ((F.col("f") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("rate"))
 
 
+@scratched
 def quality_verdicts(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """One row per document of docs (doc_id, text, host column): the counts, base_failed, host_rate, host_blocked, kept.
 
@@ -105,6 +106,10 @@ def quality_verdicts(docs: DataFrame, host: str = "source", rules: Rules = Rules
 
 
 def drop_bad_documents(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """docs without the rows that quality_verdicts() rejects; all columns stay."""
-    gone = stored(quality_verdicts(docs, host, rules).filter("NOT kept").select("doc_id"), "rejected")
-    return only(docs, gone.filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti")
+    """docs without the rows that quality_verdicts() rejects, null and repeated ids or not; all columns stay."""
+    hosts = F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("-"))
+    name = free_name(docs, "row_key")
+    rows = docs.withColumn(name, row_key(F.concat(sha256(), hosts)))
+    seen = rows.select(F.col(name).alias("doc_id"), "text", F.col(host).alias("host"))
+    gone = stored(quality_verdicts(seen, "host", rules).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "rejected")
+    return only(rows, gone, name, "left_anti").drop(name)

@@ -85,23 +85,44 @@ def test_near(docs, empty, spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_groups(d).collect()} == brute_components(family)
 
 
-def test_substring(docs, empty):
-    clean = docs.filter("doc_id IS NOT NULL")
-    first, want = {}, {}
-    for i, t in enumerate(TEXTS):
+def cut(rows):
+    """What is left of each row (doc_id, text), counted window by window."""
+    starts, out = {}, []
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for j in range(len(w) - 49) if i is not None else ():
+            starts[tuple(w[j : j + 50])] = min(i, starts.get(tuple(w[j : j + 50]), i))
+    for i, t in rows:
         w = WORD.findall(t or "")
         gone = [False] * len(w)
-        for j in range(len(w) - 49):
-            k = tuple(w[j : j + 50])
-            if first.setdefault(k, i) < i:
+        for j in range(len(w) - 49) if i is not None else ():
+            if starts[tuple(w[j : j + 50])] < i:
                 gone[j : j + 50] = [True] * 50
-        want[i] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
-    for batches in (1, 4):
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.deduplicated(clean, batches).collect()}
-        assert got == want
+        out.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def removed(d, batches):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.deduplicated(d, batches).collect()), key=str)
+
+
+def test_substring(docs, empty):
+    """Null and repeated ids too; one text of a repeated id is cut by others, not by its namesake."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert removed(docs, 2) == cut(rows)
     assert substring.deduplicated(empty).count() == 0
 
 
+def test_substring_levels(spark, monkeypatch):
+    """Repeated ids with different texts, and more batches than a level holds runs."""
+    monkeypatch.setattr(substring, "RUNS", 2)
+    a, b = prose(70, 31), prose(65, 32)
+    rows = [(i, f"{prose(30 + i, 700 + i)} {a if i % 3 else b} {prose(20, 800 + i)}") for i in range(12)]
+    rows += [(3, a + " " + b), (5, prose(60, 5)), (5, b), (2, f"{b} {a}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(d, 4) == cut(rows)
+
+
 def test_bpe(docs, empty, spark):
     import tiktoken
 
@@ -149,7 +170,7 @@ def test_mix(docs, empty):
 def test_pii(docs, empty, spark):
     got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
     assert (got[19].n_email, got[19].n_ip, got[19].n_card, got[19].n_phone) == (1, 1, 1, 1) and got[5].spans == ""
-    assert pii.personal_data(empty).count() == 0
+    assert pii.personal_data(empty).count() == 0 and len(got) == len(TEXTS) + 1
     rows = [(i, f"{prose(12, i)} agent Zorblax joe@x.example.com {prose(12, 99 + i)}") for i in range(6)] + [(50 + i, prose(40, 500 + i)) for i in range(60)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     spans = {r.doc_id: r.spans for r in pii.personal_data(d).collect()}
@@ -173,7 +194,7 @@ def test_classifier(spark, docs, empty):
 
 
 def test_licences(spark, docs, empty):
-    mit = licenses.KNOWN[0][1]
+    mit = licenses.BODIES[0][2]
     d = spark.createDataFrame([(1, "Copyright (c) 2020 X\n\n" + mit.upper().replace(",", " ;")), (2, "foo\nReleased under the MIT Licence."), (3, None), (4, "Copyright 2020")], "doc_id long, text string")
     got = {r.doc_id: (r.license, r.notices) for r in licenses.license_scan(d).collect()}
     assert got == {1: ("MIT", "MIT"), 2: (None, "MIT"), 3: (None, ""), 4: (None, "")}
@@ -185,5 +206,12 @@ def test_url_lists(spark):
     events = events.select("entry", "action", F.timestamp_seconds(F.col("day") * 86400).alias("at"))
     caps = spark.createDataFrame([(1, "http://a.bad.com/q", 15), (2, "http://a.bad.com/q", 20), (3, "https://OK.com/x/y?z", 9), (4, "https://ok.com/xy", 9), (5, None, 9), (6, "http://z.com", 4), (7, "http://bad.com", None)], "page_id long, url string, day int")
     caps = caps.select("page_id", "url", F.timestamp_seconds(F.col("day") * 86400).alias("fetched_at"))
+    more = caps.union(caps.filter("page_id IN (1, 5)")).withColumn("entry", F.lit("clash"))
+    assert sorted((r.page_id, r.entry) for r in url_lists.temporal_verdicts(more, events).collect() if r.page_id in (1, 5)) == [(1, "bad.com"), (1, "bad.com"), (5, None), (5, None)]
+    rows = [(1, "http://ok.com/Folder/x"), (2, "http://OK.com/folder/x"), (3, "http://[2001:db8::1]:80/a"), (4, "http://10.0.0.1/"), (5, "http://ok.com/" + "a/" * 5000)]
+    odd = spark.createDataFrame(rows, "page_id long, url string").withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))
+    listed = spark.createDataFrame([("Ok.com/Folder/",), ("[2001:DB8::1]",), ("0.1",)], "entry string").select("entry", F.lit("add").alias("action"), F.lit("2023-01-01").cast("timestamp").alias("at"))
+    assert {r.page_id: r.entry for r in url_lists.temporal_verdicts(odd, listed).collect()} == {1: "ok.com/Folder/", 2: None, 3: "[2001:db8::1]", 4: None, 5: None}
+    assert not any(r.blocked for r in url_lists.temporal_verdicts(odd, listed.limit(0)).collect())
     assert {r.page_id: r.entry for r in url_lists.temporal_verdicts(caps, events).collect()} == {1: "bad.com", 2: None, 3: "ok.com/x/", 4: None, 5: None, 6: None, 7: None}
     assert url_lists.temporal_verdicts(caps.limit(0), events).count() == 0
