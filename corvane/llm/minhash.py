@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import lookup, only, stored
+from corvane.llm.common import BROADCAST_ROWS, free_name, lookup, only, row_key, scratched, sha256
 from corvane.llm.wordhash import mix, shingles, slices, words
-from corvane.operators.graph import components
+from corvane.operators.graph import components, roots
+from corvane.sources.workspace import stored
 
 WORDS = 5
 #: 32 bands of 4 rows: two documents at a similarity of 0.75 share no band with a chance of 5e-6, at 0.8 of 5e-8.
@@ -23,6 +24,8 @@ _U = np.uint64
 #: A deep signature: DEEP one-byte minima, compared BYTES at a time. Members of a family are compared in blocks of about BLOCK documents and
 #: BLOCK_SHINGLES shingles at most (one longer document is a block of its own).
 DEEP, BYTES, BLOCK, BLOCK_SHINGLES = 1024, 128, 256, 250_000
+#: Pairs that are verified together, and members of a bucket that are compared with as many others in one task.
+PAIRS, BUCKET = 500, 1000
 _A = np.random.RandomState(11).randint(1, 2**62, BANDS * ROWS, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _B = np.random.RandomState(13).randint(1, 2**62, BANDS * ROWS, dtype=np.int64).astype(_U)
 _C = np.random.RandomState(17).randint(1, 2**62, DEEP, dtype=np.int64).astype(_U) * _U(2) + _U(1)
@@ -69,19 +72,16 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measured(floor: int):
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.slice(k, 500)
-                a, b = (part.column(c).to_numpy() for c in "ab")
-                ids, at = np.unique(np.concatenate([a, b]), return_index=True)
-                texts = pa.concat_arrays([part.column("ta"), part.column("tb")]).take(pa.array(at))
-                known = dict(zip(ids.tolist(), text_sets(texts), strict=True))
-                pairs = [(known[x], known[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in pairs], np.int64)
-                union = np.array([len(x) + len(y) for x, y in pairs], np.int64) - both
-                keep = 100 * both >= floor * union
-                yield pa.record_batch([pa.array(c[keep]) for c in (a, b, both, union)], ["a", "b", "both", "union"])
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        pivots = dict(zip(right.column("a").to_pylist(), text_sets(right.column("ta").combine_chunks()), strict=True))
+        a, b = (left.column(c).to_numpy() for c in "ab")
+        both, union = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        for i, y in enumerate(text_sets(left.column("tb").combine_chunks())):
+            x = pivots[int(a[i])]
+            both[i] = len(np.intersect1d(x, y, assume_unique=True))
+            union[i] = len(x) + len(y) - both[i]
+        keep = 100 * both >= floor * union
+        return pa.table({n: pa.array(c[keep]) for n, c in (("a", a), ("b", b), ("both", both), ("union", union))})
 
     return measure
 
@@ -163,12 +163,21 @@ def least_matches(threshold: float, miss: float, batch: int, batches: int, chanc
 
 
 def similarities(pairs: DataFrame, docs: DataFrame, floor: int) -> DataFrame:
-    """(a, b, both, union) of those of pairs (a, b) whose full shingle sets have a Jaccard similarity of floor / 100 or more."""
+    """(a, b, both, union) of those of pairs (a, b) whose full shingle sets have a Jaccard similarity of floor / 100 or more.
+
+    Pairs are dealt into groups of about PAIRS; those of an a with more are cut by salt, and its text goes once to each of its groups, not to each pair.
+    """
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     texts = stored(only(docs, ids, "doc_id"), "texts")
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return stored(both.select("a", "b", "ta", "tb").mapInArrow(_measured(floor), "a long, b long, both long, union long"), "similarities")
+    groups = max(1, pairs.count() // PAIRS)
+    pivots = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / PAIRS).cast("int")), "pivots")
+    group = F.pmod(F.xxhash64("a", "salt"), F.lit(groups)).alias("g")
+    salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")
+    left = lookup(pairs, pivots, "a", "n").withColumn("salt", salt).select(group, "a", "b").join(side("b"), "b")
+    right = pivots.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select(group, "a").distinct().join(side("a"), "a")
+    found = left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(_measured(floor), "a long, b long, both long, union long")
+    return stored(found, "similarities")
 
 
 def family_links(members: DataFrame, docs: DataFrame, at_least: int, miss: float) -> DataFrame:
@@ -197,13 +206,15 @@ def family_links(members: DataFrame, docs: DataFrame, at_least: int, miss: float
     return stored(m.groupBy("family", "kind", "i", "j").applyInArrow(_linked(bar, at_least), "a long, b long"), "inside")
 
 
+@scratched
 def near_groups(docs: DataFrame, at_least: int = 75, miss: float = 1e-7, family: int = 50) -> DataFrame:
     """One row per document of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased (A-Z) and split at white space; a document's set is its distinct 5-word shingles (a shorter text is one
     shingle; null and empty texts have none and are linked with nothing). Documents with 100 * |x & y| >= at_least * |x | y| are
     linked; component_id is the smallest doc_id reachable, and that document is kept. Repeated rows and rows with equal sets are
-    one class, represented by its smallest id; a null id never represents others. Other columns are ignored.
+    one class, represented by its smallest id. Rows with null ids and texts that share an id are documents of their own, linked like
+    others; a component of null ids alone has a null component_id. Other columns are ignored.
 
     Classes first, so copies are never compared. Then bands of the representatives' MinHash signatures form buckets, and links are
     sought in steps. (1) Each document with that bucket pivot (the smallest id) that it shares most bands with: one comparison a document, which
@@ -213,7 +224,7 @@ def near_groups(docs: DataFrame, at_least: int = 75, miss: float = 1e-7, family:
     is below miss, before it becomes a row; survivors are verified on their full texts. So every pair that shares a bucket is compared
     unless its ends are linked already, whatever the size of its bucket.
     """
-    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    docs, names = _one_id_each(docs)
     profiles = stored(docs.mapInArrow(_profiles, "doc_id long, n_shingles long, key binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(NUMBERS))), "profiles")
     full = profiles.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
@@ -221,13 +232,14 @@ def near_groups(docs: DataFrame, at_least: int = 75, miss: float = 1e-7, family:
     reps = stored(reps.drop("key"), "representatives")
     banded = reps.select("doc_id", F.posexplode("bands").alias("band", "h")).select("doc_id", F.xxhash64("band", "h").alias("bucket"))
     pivots = banded.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last").select("bucket", "pivot")
+    # One row a bucket on the right, so Spark may split a hot bucket's rows on the left (adaptive skew joins), as in the next join by bucket.
     shared = stored(banded.join(stored(pivots, "pivots"), "bucket"), "shared")
 
     first = shared.filter("doc_id > pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("n"))
     first = first.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("best"))
     near = similarities(stored(first.select((-F.col("best.p")).alias("a"), F.col("doc_id").alias("b")), "first"), docs, min(family, at_least))
     linked = lambda d: d.filter(f"100 * both >= {at_least} * union").select("a", "b")
-    links, labels, families = linked(near), components(linked(near)), components(near)
+    labels, families = stored(roots(linked(near)), "labels"), stored(roots(near), "families")  # each b has one a, so both are forests
     placed = families.select(F.col("node").alias("doc_id"), F.col("component").alias("family")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = stored(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
     sketch = reps.drop("bands")
@@ -236,25 +248,80 @@ def near_groups(docs: DataFrame, at_least: int = 75, miss: float = 1e-7, family:
     m = least_matches(at_least / 100, miss, PER_NUMBER, NUMBERS, 1 / 16)
     marked = shared.select("doc_id", "bucket").join(placed.select("doc_id", "family"), "doc_id", "left")
     marked = stored(marked.withColumn("family", F.coalesce("family", "doc_id")), "marked")
-    open_ = marked.groupBy("bucket").agg(F.min("family").alias("x"), F.max("family").alias("y")).filter("x < y").select("bucket")
-    rest = stored(marked.join(open_, "bucket", "left_semi").join(sketch, "doc_id"), "open")
-    x, y = rest.alias("x"), rest.alias("y")
+    # A bucket's members are cut into blocks; each pair of blocks is compared under a key of its own, so no task gets a whole hot bucket.
+    open_ = marked.groupBy("bucket").agg(F.min("family").alias("x"), F.max("family").alias("y"), F.count("*").alias("n")).filter("x < y")
+    open_ = stored(open_.select("bucket", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks")), "open")
+    rest = marked.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rest = stored(rest.select("doc_id", "family", "bucket", "blocks", "block").join(sketch, "doc_id"), "rest")
+    x = rest.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    y = rest.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     spread = lambda v: f"bit_count(({v} | shiftrightunsigned({v}, 1) | shiftrightunsigned({v}, 2) | shiftrightunsigned({v}, 3)) & 1229782938247303441)"  # noqa: E731  of 4-bit groups, those that differ
     unlike = lambda n: " + ".join(spread(f"(x.s{i} ^ y.s{i})") for i in range(n))
     fits = F.expr(
-        f"x.bucket = y.bucket AND x.doc_id < y.doc_id AND x.family <> y.family AND 100 * least(x.n_shingles, y.n_shingles) >= {at_least} * greatest(x.n_shingles, y.n_shingles) AND "
+        f"x.bucket = y.bucket AND x.i = y.i AND x.j = y.j AND x.doc_id < y.doc_id AND x.family <> y.family AND 100 * least(x.n_shingles, y.n_shingles) >= {at_least} * greatest(x.n_shingles, y.n_shingles) AND "
         + " AND ".join(f"{unlike(n)} <= {n * PER_NUMBER - m[n - 1]}" for n in STEPS)
     )
     pairs = stored(x.join(y, fits).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "pairs")
     more = inside.unionByName(linked(similarities(pairs, docs, at_least))) if pairs.head(1) else inside
-    labels = components(links.unionByName(more)) if more.head(1) else labels
+    if more.head(1):  # the other links join components
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        joins = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        new = components(joins).withColumnRenamed("component", "to").withColumnRenamed("node", "component")
+        old = labels.unionByName(new.select(F.col("component").alias("node"), "component").join(labels.select("node"), "node", "left_anti"))
+        labels = stored(old.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "joined")
     found = stored(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("component")), "found")
     out = lookup(profiles.select("doc_id", "n_shingles", "key"), found, "key", "n")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    if names is not None:
+        out = _own_ids(out, names)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _one_id_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with one text an id; and, if some ids of docs are null or have several texts, what these rows are called instead: (doc_id, own), whose
+    doc_id lies above 2^62 and comes from the id and the text."""
+    d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("own", F.col("doc_id"))
+    ids = d.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id", F.lit(True).alias("odd"))
+    ids = stored(ids, "odd_ids")
+    if not ids.head(1):
+        return d.select("doc_id", "text"), None
+    again = ids.filter("doc_id IS NOT NULL")
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    name = F.lit(1 << 62) + F.pmod(F.xxhash64("own", "text"), F.lit(1 << 61))
+    d = d.join(again, "doc_id", "left").withColumn("odd", F.coalesce("odd", F.col("doc_id").isNull()))
+    d = d.withColumn("doc_id", F.when(F.col("odd"), name).otherwise(F.col("doc_id")))
+    names = stored(d.filter("odd").select("doc_id", "own").distinct(), "names")
+    return d.select("doc_id", "text"), names
+
+
+def _own_ids(out: DataFrame, names: DataFrame) -> DataFrame:
+    """out (doc_id, n_shingles, component_id) with the ids of docs; a component is named by the smallest id that its documents have, if any."""
+    out = stored(out, "named")
+    least = F.min(F.when(F.col("doc_id") < F.lit(1 << 62), F.col("doc_id")).otherwise(F.col("own")))
+    place = out.select("doc_id", "component_id").distinct().join(names, "doc_id", "left").groupBy("component_id").agg(least.alias("least"), F.count("*").alias("n"))
+    out = lookup(out, stored(place, "places"), "component_id", "n").join(names, "doc_id", "left")
+    odd = F.col("doc_id") >= F.lit(1 << 62)
+    return out.select(F.when(odd, F.col("own")).otherwise(F.col("doc_id")).alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, at_least: int = 75) -> DataFrame:
-    """docs with one document of each group of near_groups(); all columns stay."""
-    gone = stored(near_groups(docs, at_least).filter("NOT kept").select("doc_id"), "near")
-    return only(docs, gone.filter("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti")
+    """docs with one document of each group of near_groups(), null and repeated ids or not; all columns stay. Of rows equal in id and text, all or
+    none stay, so exact copies are for drop_exact_copies()."""
+    name = free_name(docs, "row_key")
+    # Rows with an id of their own keep it, so groups keep their smallest id; others are named by their keys.
+    rows = docs.withColumn(name, row_key(sha256()))
+    ids = stored(rows.select("doc_id", name).distinct(), "ids")
+    odd = ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id")
+    odd = stored(odd, "odd_ids")
+    if not odd.head(1):
+        gone = stored(near_groups(docs, at_least).filter("NOT kept").select("doc_id").distinct(), "near")
+        return only(docs, gone, "doc_id", "left_anti")
+    odd = odd.select(F.col("doc_id").alias("odd_id"), F.lit(True).alias("odd"))
+    odd = F.broadcast(odd) if odd.count() <= BROADCAST_ROWS else odd
+    ids = ids.join(odd, F.col("doc_id").eqNullSafe(F.col("odd_id")), "left")
+    ids = stored(ids.withColumn("id", F.when(F.col("odd"), F.lit(1 << 62) + F.pmod(F.xxhash64(name), F.lit(1 << 61))).otherwise(F.col("doc_id"))).select(name, "id"), "named")
+    texts = rows.select(name, "text").join(ids, name).select(F.col("id").alias("doc_id"), "text")
+    gone = near_groups(texts, at_least).filter("NOT kept").select(F.col("doc_id").alias("id")).distinct()
+    gone = stored(ids.join(gone, "id", "left_semi").select(name).distinct(), "near")
+    return only(rows, gone, name, "left_anti").drop(name)
