@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import bpe, exact_dedup, minhash, mixing, quality_rules
 from corvane.llm.queries import multi_50k
-from corvane.sources.workspace import shared_dir
+from corvane.sources.workspace import remove, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = f"{shared_dir(spark)}/corvane/{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{path}/{i}")
-        docs = spark.read.parquet(f"{path}/{i}")
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{i}/rows")
+        docs = spark.read.parquet(f"{path}/{i}/rows")
+        if i:  # the stage before has been read for the last time
+            remove(spark, f"{path}/{i - 1}/rows")
     return docs
-
-

@@ -28,7 +28,7 @@ COMPANIES = (
     Company("INTC", "Intel", ("pat gelsinger",)),
     Company("IBM", "IBM", ("international business machines", "watsonx")),
 )
-#: A mention in the title counts for so many; mentions, and share of the most mentioned, that make a text about a company.
+#: A mention in the title counts for so many; mentions, and share of the most mentioned, that make a text about a company.
 TITLE_WEIGHT, MIN_MENTIONS, MIN_SHARE = 5, 3, 0.25
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -211,8 +211,8 @@ def f24(spark, sf_dir):
     return corpus(spark, sf_dir).select("article_id", F.array_join("tickers", ",").alias("tickers"), "headline_only")
 
 
-#: Citations for texts that have none: some of a document's first words get numbers in brackets.
-CITED = "substr(coalesce(text, ''), 1, 40) || ' [' || (doc_id % 7) || ', ' || (doc_id % 5) || '] and [' || (doc_id % 7) || '].'"
+#: Citations for texts that have none: numbers in brackets at their end.
+CITED = "coalesce(text, '') || ' [' || (doc_id % 7) || ', ' || (doc_id % 5) || '] and [' || (doc_id % 7) || '].'"
 
 
 @query("f28_citations", f"SELECT doc_id, array_to_string(list_filter(n, lambda x: x BETWEEN 1 AND 4), ',') AS cited, array_to_string(list_filter(n, lambda x: x NOT BETWEEN 1 AND 4), ',') AS invalid FROM (SELECT doc_id, CASE WHEN doc_id % 7 = doc_id % 5 THEN [doc_id % 7] ELSE [doc_id % 7, doc_id % 5] END AS n FROM documents)")
@@ -444,16 +444,16 @@ ARTICLE = "'d' || c AS article_id"
 
 
 def source_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Sources for the questions: each document is an article of two chunks of its text, and a passage is the chunk of its rank's parity."""
+    """Sources for the questions: each document's whole text is a chunk, and the documents of one source make an article."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"), "source")
-    chunks = d.select(F.col("doc_id").alias("chunk_idx"), F.col("source").alias("article_id"), F.substring("t", 1, 500).alias("text"))
+    chunks = d.select(F.col("doc_id").alias("chunk_idx"), F.col("source").alias("article_id"), F.col("t").alias("text"))
     arts = d.select(F.col("source").alias("article_id")).distinct().select("article_id", F.concat(F.lit("Title <"), "article_id", F.lit(">")).alias("title"), F.concat(F.lit("https://x.example.com/"), "article_id").alias("link"), F.array(F.upper("article_id")).alias("tickers"), (F.col("article_id") == "src3").alias("headline_only"))
     q = questions(spark, sf_dir)
     passages = stored(lexical.search(q, doc_index(spark, sf_dir), 6).select("qid", F.col("rank").alias("pos"), "chunk_idx"), "passages")
     return answer.sources(passages, chunks, arts), q
 
 
-SOURCES = f"""{BM25}, pa AS (SELECT qid, rank, c, d.source, substr(coalesce(text, ''), 1, 500) AS text FROM rk JOIN d USING (c) JOIN documents ON doc_id = c WHERE rank <= 6),
+SOURCES = f"""{BM25}, pa AS (SELECT qid, rank, c, d.source, coalesce(text, '') AS text FROM rk JOIN d USING (c) JOIN documents ON doc_id = c WHERE rank <= 6),
     so AS (SELECT qid, source, row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS number, string_agg(text, ' ' ORDER BY rank) AS text FROM pa GROUP BY qid, source)"""
 
 
@@ -545,7 +545,8 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = doc_index(spark, sf_dir)
     q = questions(spark, sf_dir)
     rank = lexical.search(q, i, 8).select("qid", F.col("chunk_idx").alias("article_id"), F.col("rank").alias("place"))
-    rarest = q.select("qid", F.explode(F.array_distinct("tokens")).alias("term")).join(i.term_stats, "term")
+    inner = F.when(F.size("tokens") > 2, F.slice("tokens", F.lit(2), F.size("tokens") - 2)).otherwise(F.col("tokens"))  # the outer ones may be parts of words
+    rarest = q.select("qid", F.explode(F.array_distinct(inner)).alias("term")).join(i.term_stats, "term")
     first = rarest.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("df", "term"))).filter("n = 1").select("qid", "term")
     docs, items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_idx"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
     both = first.join(i.postings, "term").select("qid", "chunk_idx").join(docs, "chunk_idx").join(items, "qid").filter(F.contains("text", "item"))
@@ -584,7 +585,7 @@ def r1(spark, sf_dir):
     from corvane.sources.workspace import shared_dir
     from corvane.streaming.chat import answer_stream
 
-    out = f"{shared_dir(spark)}/corvane/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    out = f"{shared_dir(spark)}/corvane/stream-{uuid.uuid4().hex}"
     source = stored(asked(spark, sf_dir), "questions")
     stream = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
     answer_stream(stream, chat(spark, sf_dir), f"{out}/events", f"{out}/checkpoint").awaitTermination()

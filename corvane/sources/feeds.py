@@ -21,14 +21,12 @@ def parse_feeds(payloads: DataFrame) -> DataFrame:
     fails = F.raise_error(F.lit("expected a JSON object of feeds, each a list of records"))
     is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
     p = payloads.select(F.when(is_object, doc).otherwise(fails).alias("doc"), F.json_object_keys("value").alias("names"))
-    p.createOrReplaceTempView("feed_payloads__")
     spark = payloads.sparkSession
-    feeds = spark.sql("SELECT array_position(names, f.key) AS feed_pos, upper(f.key) AS feed, f.value AS list FROM feed_payloads__, LATERAL variant_explode(doc) AS f")
+    feeds = spark.sql("SELECT array_position(names, f.key) AS feed_pos, upper(f.key) AS feed, f.value AS list FROM {payloads}, LATERAL variant_explode(doc) AS f", payloads=p)
     is_list = F.schema_of_variant("list").startswith("ARRAY")
     feeds = feeds.withColumn("list", F.when(is_list, F.col("list")).otherwise(fails))
     feeds = feeds.groupBy("feed").agg(F.min("feed_pos").alias("feed_pos"), F.max_by(F.to_json("list"), "feed_pos").alias("list"))
-    feeds.createOrReplaceTempView("feed_lists__")
-    rows = spark.sql("SELECT feed_pos, feed, r.pos AS rec_pos, r.value AS rec FROM feed_lists__, LATERAL variant_explode(parse_json(list)) AS r")
+    rows = spark.sql("SELECT feed_pos, feed, r.pos AS rec_pos, r.value AS rec FROM {lists}, LATERAL variant_explode(parse_json(list)) AS r", lists=feeds)
     return rows.select("feed_pos", "rec_pos", "feed", *(_field(n).alias(n) for n in ("title", "link")), F.coalesce(_field("full_text"), F.lit("")).alias("full_text"), _kind("full_text").alias("kind")).withColumn(
         "is_valid", valid_record(F.col("title"), F.col("link")) & F.coalesce(F.col("kind") == "STRING", F.lit(True))
     ).drop("kind")
