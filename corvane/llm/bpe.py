@@ -70,7 +70,7 @@ class Encoder:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         a, b, merged = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         for name, rows in (("merges", {"a": a, "b": b, "merged": merged}), ("vocabulary", {"id": pa.array(list(self.bytes), pa.int32()), "bytes": pa.array([b.decode("latin-1") for b in self.bytes.values()], pa.string())})):
             self.db.register("rows", pa.table(rows))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
