@@ -7,25 +7,42 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.workspace import stored
+
 K1, B = 1.5, 0.75
 
 
+#: Postings of a term that go to one task at most; a term with more is dealt over several.
+SPLIT = 1_000_000
+
+
 @dataclass
 class Postings:
-    """postings (term, chunk_idx, tf, dl), term_stats (term, df) and one row of stats (n, avgdl)."""
+    """Stored tables: postings (term, part, chunk_idx, tf, dl), terms (term, df) and one row of stats (n, avgdl). The postings of a term that has many are dealt over
+    parts by chunk_idx; parts() says over how many."""
 
     postings: DataFrame
     term_stats: DataFrame
     stats: DataFrame
 
 
+def parts(df: Column) -> Column:
+    return F.ceil(df / F.lit(SPLIT)).cast("int")
+
+
 def build(chunks: DataFrame, tokens: Column | str = "tokens") -> Postings:
-    """The index of chunks (chunk_idx, tokens). Chunks without tokens count in n and avgdl."""
+    """The index of chunks (chunk_idx, tokens), built once. Chunks without tokens count in n and avgdl."""
     c = chunks.select("chunk_idx", (F.col(tokens) if isinstance(tokens, str) else tokens).alias("tokens"))
-    stats = c.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl"))
+    stats = stored(c.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl")), "stats")
     words = c.select("chunk_idx", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    postings = words.groupBy("term", "chunk_idx").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return Postings(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
+    found = stored(words.groupBy("term", "chunk_idx").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "found")
+    terms = stored(found.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    frequent = terms.filter(F.col("df") > SPLIT).select("term", parts(F.col("df")).alias("parts"))
+    if frequent.isEmpty():
+        return Postings(found.withColumn("part", F.lit(0)), terms, stats)
+    part = F.pmod(F.xxhash64("chunk_idx"), F.coalesce("parts", F.lit(1))).cast("int")
+    split = found.join(F.broadcast(frequent), "term", "left")  # a table of at most a millionth of the postings
+    return Postings(stored(split.select("term", part.alias("part"), "chunk_idx", "tf", "dl"), "postings"), terms, stats)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -34,11 +51,12 @@ def idf(n: Column, df: Column) -> Column:
 
 def scores(queries: DataFrame, index: Postings, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_idx, score) of queries (qid, tokens), each distinct term once. allowed (qid, chunk_idx) restricts the chunks."""
-    terms = queries.select("qid", F.explode(F.array_distinct("tokens")).alias("term"))
-    hits = terms.join(index.postings, "term")
+    terms = queries.select("qid", F.explode(F.array_distinct("tokens")).alias("term")).join(index.term_stats, "term")
+    terms = terms.withColumn("part", F.explode(F.sequence(F.lit(0), parts(F.col("df")) - 1)))
+    hits = terms.join(index.postings, ["term", "part"])
     if allowed is not None:
         hits = hits.join(allowed, ["qid", "chunk_idx"], "left_semi")
-    hits = hits.join(index.term_stats, "term").crossJoin(F.broadcast(index.stats))  # one row
+    hits = hits.crossJoin(F.broadcast(index.stats))  # one row
     norm = 1 - B + B * F.col("dl") / F.col("avgdl")
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
     return hits.groupBy("qid", "chunk_idx").agg(F.sum(part).alias("score"))

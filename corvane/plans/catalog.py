@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -97,9 +98,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_index(spark: SparkSession, sf_dir: str) -> lexical.Postings:
-    i = lexical.build(stored(doc_tokens(spark, sf_dir), "tokens"))
-    p = stored(i.postings, "postings")
-    return lexical.Postings(p, p.groupBy("term").agg(F.count("*").alias("df")), stored(i.stats, "stats"))
+    return lexical.build(stored(doc_tokens(spark, sf_dir), "tokens"))
 
 
 def source_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +149,41 @@ def f5(spark, sf_dir):
     return corpus(spark, sf_dir).select("article_id", F.md5("text").alias("text_md5"), F.char_length("text").alias("chars"), F.array_join("rules_applied", ",").alias("rules"))
 
 
+#: A text for each of the news rules, as a page may hold it; none for the last.
+PLANTED = [
+    "PREMIUM Upgrade to read this MT Newswires article and get more. Sign in", "Why are we interested in the stocks that hedge funds pile into? The reason is simple (see more details here).", "READ NEXT: five more stocks to read about",
+    "story continues", "Want the latest recommendations from Zacks Investment Research? Download it today", "Yahoo Finance Video • 12 hours ago 10:42", "View Comments", "Disclosure: None.",
+    "This article is originally published at Insider Monkey.", "was originally published by The Motley Fool", "This post was written by Ann O'Neil-Smith.", "Benzinga does not provide investment advice. All rights reserved.",
+    "Read the latest financial and business news from Yahoo Finance", "Continue Reading  ", "A report is available to you FREE via this link.", "",
+]
+
+
+def _sql(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _news_sql() -> str:
+    """The rules one after the other, each on what the ones before left."""
+    of = "[" + ", ".join(map(_sql, PLANTED)) + "]"
+    text = f"coalesce(text, '') || '  ' || {of}[1 + doc_id % 16] || '. More words follow. ' || {of}[1 + (doc_id // 16) % 16] || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' The end.' END"
+    steps = [f"r0 AS (SELECT doc_id, {text} AS t, []::VARCHAR[] AS names FROM documents)"]
+    for i, r in enumerate(T.NEWS_RULES):
+        p = _sql(re.sub(r"^\(\?([a-zA-Z]+)\)", lambda m: f"(?{m[1].replace('U', '')})" if m[1] != "U" else "", r.pattern))
+        steps.append(f"r{i + 1} AS (SELECT doc_id, regexp_replace(t, {p}, ' ', 'g') AS t, CASE WHEN regexp_matches(t, {p}) AND NOT list_contains(names, '{r.name}') THEN list_append(names, '{r.name}') ELSE names END AS names FROM r{i})")
+    return f"WITH {', '.join(steps)} SELECT doc_id, md5(trim(regexp_replace(t, '[\\s\\p{{Z}}]+', ' ', 'g'), ' ')) AS text_md5, array_to_string(names, ',') AS rules, list_contains(names, 'paywall') AS paywalled FROM r{len(T.NEWS_RULES)}"
+
+
+@query("f5_news_rules", _news_sql())
+def f5_news(spark, sf_dir):
+    """Every rule on documents into which texts that it removes were put."""
+    of = ", ".join(_sql(x) for x in PLANTED)
+    first, second = (F.expr(f"element_at(array({of}), cast({at} as int))") for at in ("1 + doc_id % 16", "1 + floor(doc_id / 16) % 16"))
+    end = F.when(F.col("doc_id") % 2 == 0, "").otherwise(" The end.")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("  "), first, F.lit(". More words follow. "), second, end)
+    c = table(spark, sf_dir, "documents").select("doc_id", T.cleaned(T.nfkc(text)).alias("c"))
+    return c.select("doc_id", F.md5("c.text").alias("text_md5"), F.array_join("c.rules_applied", ",").alias("rules"), "c.paywalled")
+
+
 @query(
     "f7_sentences",
     rf"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?]["”’)]?)[\s\p{{Z}}]+([A-Z0-9"“‘(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {STRIP.format("x")}), lambda x: x <> '') AS s FROM documents)
@@ -258,9 +292,19 @@ def a1(spark, sf_dir):
     return merged(spark, sf_dir).select(T.canonical_link(F.col("link")).alias("link"), "cand_seq", F.array_join("feeds", ",").alias("feeds"), "records")
 
 
-@query("a1_dedupe_full")
+@query(
+    "a1_dedupe_full",
+    f"""WITH RECURSIVE {RECORDS}, k AS (SELECT row_number() OVER (ORDER BY seq) AS i, seq, 'l' || link AS lk, 't' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g'), ' ') AS tk FROM r),
+    w AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::BIGINT AS cand, []::VARCHAR[] AS keys, []::BIGINT[] AS cands
+        UNION ALL
+        SELECT i, seq, cand, list_concat(keys, new), list_concat(cands, list_transform(new, lambda x: cand))
+        FROM (SELECT k.i, k.seq, coalesce(cands[list_position(keys, lk)], cands[list_position(keys, tk)], k.seq) AS cand, keys, cands, list_filter([lk, tk], lambda x: NOT list_contains(keys, x)) AS new FROM w JOIN k ON k.i = w.i + 1)),
+    c AS (SELECT r.*, cand FROM r JOIN w USING (seq)), f AS (SELECT cand, feed, min(seq) AS at_ FROM c GROUP BY cand, feed)
+    SELECT cand AS cand_seq, link, feeds, records FROM (SELECT cand, link, row_number() OVER (PARTITION BY cand ORDER BY length(full_text) DESC, seq) AS i FROM c)
+        JOIN (SELECT cand, string_agg(feed, ',' ORDER BY at_) AS feeds FROM f GROUP BY cand) USING (cand) JOIN (SELECT cand, count(*) AS records FROM c GROUP BY cand) USING (cand) WHERE i = 1""",
+)
 def a1_full(spark, sf_dir):
-    return ingest.merged(feeds.documents_as_records(table(spark, sf_dir, "documents"))).select("cand_seq", "link", F.array_join("feeds", ",").alias("feeds"), "records")
+    return ingest.merged(feeds.documents_as_records(table(spark, sf_dir, "documents"))).select("cand_seq", T.canonical_link(F.col("link")).alias("link"), F.array_join("feeds", ",").alias("feeds"), "records")
 
 
 @query("a4_rule_counts", f"WITH {CLEAN} SELECT 'recurring_line' AS rule, count(*) AS articles FROM a WHERE hit")
@@ -354,6 +398,20 @@ def a14(spark, sf_dir):
     return covered(spark, sf_dir).select("qid", F.round("coverage", 6).alias("coverage"))
 
 
+@query(
+    "a15_uncovered",
+    f"""WITH {BM25}, w AS (SELECT item_id AS qid, unnest(k) AS term, generate_subscripts(k, 1) - 1 AS pos FROM (SELECT item_id, list_concat({tok("text")}, ['zzq' || item_id % 5, 'zzr', 'zzq' || item_id % 5]) AS k FROM benchmark)),
+    m AS (SELECT qid, term, min(pos) AS a, max(pos) AS z FROM w WHERE term NOT IN (SELECT term FROM t) GROUP BY qid, term)
+    SELECT item_id AS qid, coalesce(string_agg(term || z, ',' ORDER BY a), '') AS uncovered FROM benchmark LEFT JOIN m ON qid = item_id GROUP BY item_id""",
+)
+def a15(spark, sf_dir):
+    """Words that no document has, put behind each question; a surface form tells its position."""
+    tail = F.concat(F.lit("zzq"), (F.col("qid") % 5).cast("string"))
+    t = questions(spark, sf_dir).select("qid", F.posexplode(F.concat("tokens", F.array(tail, F.lit("zzr"), tail))).alias("pos", "stem"))
+    c = lexical.coverage(t.withColumn("surface", F.concat("stem", F.col("pos").cast("string"))), doc_index(spark, sf_dir))
+    return c.select("qid", F.array_join("uncovered", ",").alias("uncovered"))
+
+
 @query("p7_gate", f"WITH {COVERED} SELECT item_id AS qid, round(coalesce(coverage, 0), 6) AS coverage, coalesce(coverage, 0) >= CASE WHEN item_id % 2 = 0 THEN 0.2 ELSE 0.6 END AND item_id IN (SELECT qid FROM rk) AS sufficient FROM benchmark LEFT JOIN co ON qid = item_id")
 def p7(spark, sf_dir):
     q = questions(spark, sf_dir)
@@ -393,6 +451,51 @@ def q3_lsa(spark, sf_dir):
     return r.select("qid", F.col("chunk_idx").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
+TICKER = "'src' || ({}) % 20"
+PICKED = "SELECT qid, c, art, row_number() OVER (PARTITION BY qid ORDER BY rank) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY qid, art ORDER BY rank) AS i FROM {}) WHERE i <= 2"
+
+
+@query(
+    "q4_routed",
+    f"""WITH {BM25}, da AS (SELECT c, source, source || '-' || (c % 5) AS art FROM d), ev AS (SELECT rk.*, art FROM rk JOIN da USING (c) WHERE rank <= 40),
+    tk AS (SELECT item_id AS qid, 0 AS ord, {TICKER.format("item_id")} AS source FROM benchmark WHERE item_id % 3 > 0 UNION ALL SELECT item_id, 1, {TICKER.format("item_id + 7")} FROM benchmark WHERE item_id % 3 = 2 UNION ALL SELECT item_id, 2, {TICKER.format("item_id + 11")} FROM benchmark WHERE item_id % 3 = 2),
+    nr AS (SELECT * FROM (SELECT qid, ord, c, art, row_number() OVER (PARTITION BY qid, ord ORDER BY round(score, 12) DESC, c) AS rank FROM b JOIN da USING (c) JOIN tk USING (qid, source)) WHERE rank <= 40),
+    mk AS ({PICKED.format("ev")}), fi AS (SELECT * FROM ({PICKED.format("(SELECT * FROM nr WHERE qid % 3 = 1)")}) WHERE pos <= 8), en AS (SELECT qid FROM fi GROUP BY qid HAVING count(DISTINCT art) >= 2),
+    wd AS (SELECT qid, c, art, row_number() OVER (PARTITION BY qid ORDER BY phase, rank) AS rank FROM (SELECT qid, c, art, rank, 0 AS phase FROM nr WHERE qid % 3 = 1 UNION ALL SELECT qid, c, art, rank, 1 FROM ev WHERE qid % 3 = 1 AND (qid, c) NOT IN (SELECT (qid, c) FROM nr))),
+    pw AS ({PICKED.format("wd")}), pc AS (SELECT qid, ord, c, art, row_number() OVER (PARTITION BY qid, ord ORDER BY rank) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY qid, ord, art ORDER BY rank) AS i FROM nr WHERE qid % 3 = 2) WHERE i <= 2),
+    bl AS (SELECT qid, c, art, row_number() OVER (PARTITION BY qid ORDER BY pos, ord) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY qid, c ORDER BY pos, ord) AS k FROM pc WHERE pos <= 4) WHERE k = 1)
+    SELECT qid, pos, c AS doc_id, art AS article_id FROM mk WHERE qid % 3 = 0 AND pos <= 8 UNION ALL SELECT qid, pos, c, art FROM fi WHERE qid IN (FROM en) UNION ALL SELECT qid, pos, c, art FROM pw WHERE pos <= 8 AND qid NOT IN (FROM en) UNION ALL SELECT qid, pos, c, art FROM bl WHERE pos <= 12""",
+)
+def q4_routed(spark, sf_dir):
+    """The retriever's three routes by lexical search: a third of the questions for the market, for one company, and for three; each document is a chunk,
+    five articles a source, sources stand for companies."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_idx"), F.concat_ws("-", "source", (F.col("doc_id") % 5).cast("string")).alias("article_id"), F.coalesce("text", F.lit("")).alias("index_text"), "source")
+    arts = d.select("article_id", F.array("source").alias("tickers")).distinct()
+    of = lambda n: F.concat(F.lit("src"), ((F.col("item_id") + n) % 20).cast("string"))
+    kind = F.col("item_id") % 3
+    none = F.array().cast("array<string>")
+    plans = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("qid"), F.col("text").alias("standalone_query"), F.when(kind == 0, "market").when(kind == 1, "company").otherwise("comparison").alias("intent"),
+        F.when(kind == 0, none).when(kind == 1, F.array(of(0))).otherwise(F.array(of(0), of(7), of(11))).alias("tickers"),
+    )
+    passages, _ = Retriever(arts, d, RetrievalConfig(semantic_weight=0.0), stemmed=False).retrieve(plans)
+    return passages.select("qid", F.col("pos").cast("long").alias("pos"), F.col("chunk_idx").alias("doc_id"), "article_id")
+
+
+@query(
+    "q4_hybrid",
+    f"""WITH {BM25}, ve AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), dx AS (SELECT a.vec_id AS qid, b.vec_id AS c, list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i])) AS score FROM ve a JOIN benchmark ON item_id = a.vec_id, ve b),
+    dr AS (SELECT qid, c, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, c) AS rank FROM dx WHERE round(score, 12) > 0), un AS (SELECT qid, c, 1 / (60.0::DOUBLE + rank) AS part FROM rk WHERE rank <= 40 UNION ALL SELECT qid, c, 0.5::DOUBLE / (60.0::DOUBLE + rank) FROM dr WHERE rank <= 40)
+    SELECT qid, c AS doc_id, round(sum(part), 9) AS score FROM un GROUP BY qid, c""",
+)
+def q4_hybrid(spark, sf_dir):
+    """Lexical ranking fused with that of given vectors at half its weight; a question's vector is the one of its number."""
+    v = unit_vectors(spark, sf_dir).drop("label")
+    q = questions(spark, sf_dir)
+    near = dense.search(v.join(q.select(F.col("qid").alias("chunk_idx")), "chunk_idx", "left_semi").withColumnRenamed("chunk_idx", "qid"), v, 40)
+    return fused([(lexical.search(q, doc_index(spark, sf_dir), 40), 1.0), (near, 0.5)]).select("qid", F.col("chunk_idx").alias("doc_id"), F.round("score", 9).alias("score"))
+
+
 # ------------------------------------------------------------------ questions and history
 
 
@@ -570,6 +673,16 @@ def a20(spark, sf_dir):
     return evaluate.summary(r).select("n", *(F.round(c, 6).alias(c) for c in ("hit", "recall", "mrr")))
 
 
+@query("a21_gate", f"WITH {COVERED}, g AS (SELECT item_id, coalesce(coverage, 0) >= 0.6 AND item_id IN (SELECT qid FROM rk) AS ok, CASE WHEN item_id % 4 = 0 THEN NULL ELSE (item_id % 8) / 8.0::DOUBLE END AS tc FROM benchmark LEFT JOIN co ON qid = item_id) SELECT count(*) AS n, round(avg(tc), 6) AS ticker_coverage, round(avg((ok = (item_id % 3 > 0))::INT::DOUBLE), 6) AS gate FROM g")
+def a21(spark, sf_dir):
+    """How often the gate agrees with what was expected, and the mean of ticker coverage over the cases that have one."""
+    q = questions(spark, sf_dir)
+    v = gate(lexical.search(q, doc_index(spark, sf_dir), 8), q.select("qid", F.array().cast("array<string>").alias("tickers")), covered(spark, sf_dir))
+    none = F.lit(None).cast("double")
+    r = v.select(none.alias("hit"), none.alias("recall"), none.alias("rr"), F.when(F.col("qid") % 4 > 0, (F.col("qid") % 8) / 8.0).alias("ticker_coverage"), (F.col("sufficient") == (F.col("qid") % 3 > 0)).alias("gate_correct"))
+    return evaluate.summary(r).select("n", F.round("ticker_coverage", 6).alias("ticker_coverage"), F.round("gate", 6).alias("gate"))
+
+
 @query("q14_ablation")
 def q14(spark, sf_dir):
     a = stored(corpus(spark, sf_dir), "articles")
