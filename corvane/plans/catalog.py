@@ -578,13 +578,17 @@ def f31(spark, sf_dir):
     return c.select("qid", F.md5("context").alias("context_md5"))
 
 
-@query(
-    "q10_extractive",
-    rf"""WITH {SOURCES}, st AS (SELECT qid, number, source, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT qid, number, source, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]["”’)]?)[\s\p{{Z}}]+([A-Z0-9"“‘(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {STRIP.format("x")}), lambda x: x <> '') AS s FROM so WHERE source <> 'src3')),
+#: The lines that an extractive answer quotes from each source; the titles where no source has any.
+LINES = rf"""{SOURCES}, st AS (SELECT qid, number, source, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT qid, number, source, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]["”’)]?)[\s\p{{Z}}]+([A-Z0-9"“‘(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: {STRIP.format("x")}), lambda x: x <> '') AS s FROM so WHERE source <> 'src3')),
     qt AS (SELECT qid, list(term) AS q FROM q GROUP BY qid), ov AS (SELECT st.*, len(list_intersect(list_distinct({tok("s")}), q)) AS n, q FROM st JOIN qt USING (qid) WHERE length(s) >= 40),
     be AS (SELECT *, row_number() OVER (PARTITION BY qid, number ORDER BY n DESC, i) AS k FROM ov WHERE n >= greatest(least(2, len(q)), 1)),
     li AS (SELECT qid, number, i, trim(regexp_replace(s, '[\s\p{{Z}}]+', ' ', 'g'), ' ') AS s, '' AS tag FROM be WHERE k <= 2 UNION ALL SELECT qid, number, 0, 'Title <src3>', ' (headline only)' FROM so WHERE source = 'src3'),
-    al AS (SELECT * FROM li UNION ALL SELECT qid, number, 0, 'Title <' || source || '>', CASE WHEN source = 'src3' THEN ' (headline only)' ELSE '' END FROM so WHERE qid NOT IN (SELECT qid FROM li))
+    al AS (SELECT * FROM li UNION ALL SELECT qid, number, 0, 'Title <' || source || '>', CASE WHEN source = 'src3' THEN ' (headline only)' ELSE '' END FROM so WHERE qid NOT IN (SELECT qid FROM li))"""
+
+
+@query(
+    "q10_extractive",
+    rf"""WITH {LINES}
     SELECT qid, md5({STRIP.format(f"'{answer.INTRO.strip()}' || chr(10) || chr(10) || string_agg('- ' || s || ' [' || number || ']' || tag || chr(10), '' ORDER BY number, i)")}) AS answer_md5 FROM al GROUP BY qid""",
 )
 def q10(spark, sf_dir):
@@ -593,6 +597,21 @@ def q10(spark, sf_dir):
     return answer.extractive_answers(stored(s, "sources"), plans, q, stemmed=False).select("qid", F.md5("answer").alias("answer_md5"))
 
 
+@query(
+    "q10_comparison",
+    rf"""WITH {LINES}, bu AS (SELECT qid, number, source, string_agg('- ' || s || ' [' || number || ']' || tag || chr(10), '' ORDER BY i) AS b FROM al JOIN so USING (qid, number) GROUP BY qid, number, source),
+    ak AS (SELECT qid, unnest([0, 7, 11]) AS o FROM (SELECT DISTINCT qid FROM so)), pt AS (SELECT ak.qid, o, coalesce(string_agg(b, '' ORDER BY number), '- No articles about this company were found.' || chr(10)) AS b FROM ak LEFT JOIN bu ON bu.qid = ak.qid AND source = 'src' || ((ak.qid + o) % 20) GROUP BY ak.qid, o)
+    SELECT qid, md5({STRIP.format(f"'{answer.INTRO.strip()}' || chr(10) || string_agg(chr(10) || 'SRC' || ((qid + o) % 20) || ':' || chr(10) || b, '' ORDER BY o)")}) AS answer_md5 FROM pt GROUP BY qid""",
+)
+def q10_comparison(spark, sf_dir):
+    """The same questions as comparisons of three companies, some of which no source is about."""
+    s, q = source_rows(spark, sf_dir)
+    of = F.array(*(F.concat(F.lit("SRC"), ((F.col("qid") + n) % 20).cast("string")) for n in (0, 7, 11)))
+    s = stored(s, "sources")
+    plans = q.join(s.select("qid").distinct(), "qid", "left_semi").select("qid", F.lit("comparison").alias("intent"), of.alias("tickers"))
+    return answer.extractive_answers(s, plans, q, stemmed=False).select("qid", F.md5("answer").alias("answer_md5"))
+
+
 class Echo:
     """A model that cites the first source and one that doesn't exist."""
 
