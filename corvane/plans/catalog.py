@@ -661,17 +661,22 @@ def q15(spark, sf_dir):
 CASES = """rel AS (SELECT item_id AS qid, doc_id AS c FROM benchmark b JOIN documents d ON contains(d.text, b.text)), me AS (SELECT rel.qid, count_if(rank <= 5) > 0 AS hit, count_if(rank <= 5) / count(*) AS recall, coalesce(1 / min(rank), 0) AS rr FROM rel LEFT JOIN (SELECT * FROM rk WHERE rank <= 8) k ON k.qid = rel.qid AND k.c = rel.c GROUP BY rel.qid)"""
 
 
+def holders(spark: SparkSession, sf_dir: str, texts: DataFrame, i: lexical.Postings) -> DataFrame:
+    """(qid, chunk_idx) of the texts (chunk_idx, text), with index i, that contain a benchmark item. They share its rarest token, so candidates come from a
+    join by token before texts are compared."""
+    inner = F.when(F.size("tokens") > 2, F.slice("tokens", F.lit(2), F.size("tokens") - 2)).otherwise(F.col("tokens"))  # the outer ones may be parts of words
+    rarest = questions(spark, sf_dir).select("qid", F.explode(F.array_distinct(inner)).alias("term")).join(i.term_stats, "term")
+    first = rarest.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("df", "term"))).filter("n = 1").select("qid", "term")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
+    return first.join(i.postings, "term").select("qid", "chunk_idx").join(texts, "chunk_idx").join(items, "qid").filter(F.contains("text", "item")).select("qid", "chunk_idx")
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """hit, recall and rr of each benchmark item that documents contain, its document ranking by BM25 taken as the articles'. Documents that contain an
-    item share its rarest tokens with it, so candidates come from a join by token before texts are compared."""
+    """hit, recall and rr of each benchmark item that documents contain, its document ranking by BM25 taken as the articles'."""
     i = doc_index(spark, sf_dir)
     q = questions(spark, sf_dir)
     rank = lexical.search(q, i, 8).select("qid", F.col("chunk_idx").alias("article_id"), F.col("rank").alias("place"))
-    inner = F.when(F.size("tokens") > 2, F.slice("tokens", F.lit(2), F.size("tokens") - 2)).otherwise(F.col("tokens"))  # the outer ones may be parts of words
-    rarest = q.select("qid", F.explode(F.array_distinct(inner)).alias("term")).join(i.term_stats, "term")
-    first = rarest.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("df", "term"))).filter("n = 1").select("qid", "term")
-    docs, items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_idx"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    both = first.join(i.postings, "term").select("qid", "chunk_idx").join(docs, "chunk_idx").join(items, "qid").filter(F.contains("text", "item"))
+    both = holders(spark, sf_dir, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_idx"), "text"), i)
     return evaluate.measures(rank, both.select("qid", F.col("chunk_idx").alias("article_id")))
 
 
@@ -706,9 +711,12 @@ def a21(spark, sf_dir):
 def q14(spark, sf_dir):
     a = stored(corpus(spark, sf_dir), "articles")
     c = stored(ingest.chunked(a), "chunks")
-    none = F.array().cast("array<string>")
-    golden = asked(spark, sf_dir).select(F.col("qid").cast("string").alias("case_id"), F.lit("all").alias("category"), F.col("message").alias("question"), "history", none.alias("relevant_titles"), none.alias("must_cover_tickers"), F.lit(True).alias("expect_answered"))
-    return evaluate.ablation(golden, a, c, registry=WORDS)
+    texts = a.select(F.col("cand_seq").alias("chunk_idx"), "text")
+    found = holders(spark, sf_dir, texts, lexical.build(stored(texts.select("chunk_idx", T.tokens("text").alias("tokens")), "tokens")))
+    held = found.join(a.select(F.col("cand_seq").alias("chunk_idx"), "article_id"), "chunk_idx").select(F.col("qid").cast("string").alias("case_id"), "article_id")
+    relevant = stored(held.distinct(), "relevant")
+    golden = asked(spark, sf_dir).select(F.col("qid").cast("string").alias("case_id"), F.lit("all").alias("category"), F.col("message").alias("question"), "history", F.array().cast("array<string>").alias("relevant_titles"), WORDS.tickers_in(F.col("message")).alias("must_cover_tickers"), F.lit(True).alias("expect_answered"))
+    return evaluate.ablation(golden, a, c, registry=WORDS, relevant=relevant)
 
 
 @query("r1_stream")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 from corvane.operators import dense, lexical
@@ -48,3 +50,12 @@ def test_postings_of_a_frequent_term_in_parts(spark, monkeypatch):
     index = lexical.build(docs)
     assert index.postings.filter("term = 'the'").select("part").distinct().count() == 5
     assert rows() == whole and len(whole) == 80
+
+
+def test_lsa_weights_count_all_chunks(spark, monkeypatch):
+    monkeypatch.setattr(dense, "FIT_CHUNKS", 10)
+    monkeypatch.setattr(dense, "FIT_STEP", 3)
+    rows = [(i, ["all", f"w{i % 7}", f"v{i % 4}"]) for i in range(40)]
+    model = dense.LsaEmbedder(4).fit(spark.createDataFrame(rows, "chunk_idx long, tokens array<string>"))
+    df = Counter(g for _, t in rows for g in {*t, *(f"{a} {b}" for a, b in zip(t, t[1:], strict=False))})
+    assert model.weights and all(abs(w - np.log(41 / (1 + df[g])) - 1) < 1e-9 and df[g] > 1 for g, (w, _) in model.weights.items())
