@@ -128,6 +128,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k"))
 
 
+def without_repeats(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One of the rows of each key; rows (a stored table) are shuffled only where keys repeat, the others stay where they are."""
+    twice = stored(rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), "twice")
+    if not (n := twice.count()):
+        return rows
+    return stored(_all([only(rows, twice, key, "left_anti", n), only(rows, twice, key, n=n).dropDuplicates(key)]), "once")
+
+
 @dataclass
 class FingerprintIndex:
     """Runs of earlier documents, and where their texts are (corpus: doc_id, text). add() removes from a batch what they hold already."""
@@ -154,11 +162,11 @@ class FingerprintIndex:
                 remove(self.spark, r.docs.corvane_table)
                 remove(self.spark, r.prints.corvane_table)
 
-    def add(self, batch: DataFrame) -> DataFrame:
+    def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
         """One row per document of batch (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text (null: nothing is removed).
 
         Each word that lies in a 50-word window whose words also start in a document of smaller doc_id, in the batch or the index, is
-        removed; the batch then becomes a run, and full levels are compacted. Null and empty texts, and those under 50 words, lose nothing. Rows
+        removed; the batch then becomes a run, and full levels are compacted, unless it is the last: then the index stays as it is. Null and empty texts, and those under 50 words, lose nothing. Rows
         that repeat a doc_id lose nothing to each other, and each what smaller ids have of its own text; rows with a null id lose and take
         nothing. Other columns are ignored.
 
@@ -170,14 +178,16 @@ class FingerprintIndex:
            document covers whole stays out of the run, as its windows are found in that document.
         """
         with Scratch(self.spark) as tables:
-            result, run = self._added(batch)
-            tables.keep(result, run.docs, run.prints)
+            result, run = self._added(batch, last)
+            tables.keep(result, *([run.docs, run.prints] if run else []))
+        if run is None:
+            return result
         self.runs.append(run)
         self.compact()
         self.corpus = texts_of(self.corpus, batch.select("doc_id", "text"))
         return result
 
-    def _added(self, batch: DataFrame) -> tuple[DataFrame, Run]:
+    def _added(self, batch: DataFrame, last: bool) -> tuple[DataFrame, Run | None]:
         batch = _texts(batch)
         profile = stored(batch.mapInArrow(_profiles, "doc_id long, k long, n_words long, sha string, a array<long>, lo array<int>, hi array<int>"), "profiles")
         new = profile.filter(f"n_words >= {WINDOW} AND doc_id IS NOT NULL")
@@ -195,7 +205,7 @@ class FingerprintIndex:
         found = stored(_all([only(r.prints, hits, "a", n=many) for r in before] + [only(mine, hits, "a", n=many)]), "candidates")
         texts = batch if self.corpus is None else _all([batch, _texts(self.corpus)])
         ids = stored(found.select("doc_id", "k").distinct(), "ids")
-        texts = stored(only(texts, ids, ["doc_id", "k"]).dropDuplicates(["doc_id", "k"]), "texts")
+        texts = without_repeats(stored(only(texts, ids, ["doc_id", "k"]), "texts"), ["doc_id", "k"])
 
         def joined(spans: DataFrame) -> DataFrame:
             lists = spans.groupBy("doc_id", "k").agg(F.collect_list(F.struct(*(c for c in spans.columns if c not in ("doc_id", "k")))).alias("spans"))
@@ -213,8 +223,10 @@ class FingerprintIndex:
         gone = stored(_all([gone, more]), "gone")
         mine_only = only(gone, marked.select("doc_id", "k").distinct(), ["doc_id", "k"]) if before else gone
         cut = stored(joined(mine_only).mapInArrow(_removed, "doc_id long, k long, n_removed long, kept_sha256 string, kept_text string"), "cut")
-        fresh = mine.join(gone_whole.select("doc_id", "k", "lo").distinct(), ["doc_id", "k", "lo"], "left_anti").distinct().select("a", "doc_id", "k", "lo", "hi")
-        run = self.sorted_run(own.select("sha", "doc_id").distinct(), fresh)
+        run = None
+        if not last:
+            fresh = mine.join(gone_whole.select("doc_id", "k", "lo").distinct(), ["doc_id", "k", "lo"], "left_anti").distinct().select("a", "doc_id", "k", "lo", "hi")
+            run = self.sorted_run(own.select("sha", "doc_id").distinct(), fresh)
         empty = hashlib.sha256(b"").hexdigest()
         out = marked.join(cut, ["doc_id", "k"], "left")
         return stored(out.select(
@@ -241,5 +253,5 @@ def deduplicated(docs: DataFrame, batches: int = 3) -> DataFrame:
             part = part.filter(F.col("doc_id") > a)
         if b is not None:
             part = part.filter((F.col("doc_id") <= b) | (F.col("doc_id").isNull() if a is None else F.lit(False)))
-        results.append(index.add(part))
+        results.append(index.add(part, last=b is None))
     return _all(results)
