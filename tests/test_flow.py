@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from corvane.functions import text as T
 from corvane.operators import ingest
 from corvane.operators.dense import LsaEmbedder
 from corvane.operators.evaluate import below, measures, resolved
@@ -84,3 +85,10 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rule_counts_name_unused_rules(spark):
+    rules = [T.Rule("a", "x", "x"), T.Rule("b", "y", "y"), T.Rule("b", "z", "z")]
+    arts = spark.createDataFrame([(["a"],), (["a"],), ([],)], "rules_applied array<string>")
+    assert {tuple(r) for r in ingest.rule_counts(arts, rules).collect()} == {("a", 2), ("b", 0)}
+    assert {tuple(r) for r in ingest.rule_counts(arts.limit(0), rules).collect()} == {("a", 0), ("b", 0)}
