@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -59,3 +60,16 @@ def test_lsa_weights_count_all_chunks(spark, monkeypatch):
     model = dense.LsaEmbedder(4).fit(spark.createDataFrame(rows, "chunk_idx long, tokens array<string>"))
     df = Counter(g for _, t in rows for g in {*t, *(f"{a} {b}" for a, b in zip(t, t[1:], strict=False))})
     assert model.weights and all(abs(w - np.log(41 / (1 + df[g])) - 1) < 1e-9 and df[g] > 1 for g, (w, _) in model.weights.items())
+
+
+def test_equal_documents_score_equally_in_any_order(spark):
+    """Copies of a document whose terms come in different orders; sums of doubles differ in their last digits, which rounding to 12 digits of large scores shows."""
+    words = [f"w{i}" for i in range(60)]
+    parts = [(d, 0.1 + (i * 7919 % 61) ** 1.7) for d in range(40) for i in np.random.default_rng(d).permutation(60)]
+    rows = spark.createDataFrame([(int(d), float(x)) for d, x in parts], "d long, x double").coalesce(1)
+    assert rows.groupBy("d").agg(lexical.exact_sum(rows.x).alias("s")).select("s").distinct().count() == 1
+    (total,) = rows.filter("d = 0").agg(lexical.exact_sum(rows.x)).first()
+    assert total == math.fsum(x for d, x in parts if d == 0)
+    docs = spark.createDataFrame([(d, [words[i] for i in np.random.default_rng(d).permutation(60)] + [f"x{d}"]) for d in range(40)], "chunk_idx long, tokens array<string>")
+    got = lexical.scores(spark.createDataFrame([(1, words)], "qid long, tokens array<string>"), lexical.build(docs))
+    assert got.select("score").distinct().count() == 1
