@@ -73,3 +73,28 @@ def test_equal_documents_score_equally_in_any_order(spark):
     docs = spark.createDataFrame([(d, [words[i] for i in np.random.default_rng(d).permutation(60)] + [f"x{d}"]) for d in range(40)], "chunk_idx long, tokens array<string>")
     got = lexical.scores(spark.createDataFrame([(1, words)], "qid long, tokens array<string>"), lexical.build(docs))
     assert got.select("score").distinct().count() == 1
+
+
+def test_lsa_is_fitted_to_all_chunks_and_grams(spark, monkeypatch):
+    """Against a plain SVD of all chunks; the numbers are such that the model iterates, in many blocks and steps."""
+    monkeypatch.setattr(dense, "FIT_CHUNKS", 50)
+    monkeypatch.setattr(dense, "FIT_STEP", 50)
+    monkeypatch.setattr(dense, "FIT_BLOCK", 300)
+    rng = np.random.default_rng(1)
+    toks = [[f"t{i % 6}w{x}" if r < 0.7 else f"c{x}" for x, r in zip(rng.integers(0, 12, 30), rng.random(30), strict=True)] for i in range(300)]
+    toks[3] = []
+    count = [Counter([*t, *(f"{a} {b}" for a, b in zip(t, t[1:], strict=False))]) for t in toks]
+    df = Counter(g for c in count for g in c)
+    col = {g: i for i, g in enumerate(sorted(g for g in df if df[g] > 1))}
+    a = np.zeros((300, len(col)))
+    for i, c in enumerate(count):
+        for g in c.keys() & col.keys():
+            a[i, col[g]] = (1 + np.log(c[g])) * (np.log(301 / (1 + df[g])) + 1)
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = unit(unit(a) @ np.linalg.svd(unit(a), full_matrices=False)[2][:6].T)
+    chunks = spark.createDataFrame([(i * 7, t) for i, t in enumerate(toks)], "chunk_idx long, tokens array<string>")
+    model = dense.LsaEmbedder(6).fit(chunks)
+    vec = {r.chunk_idx: r.vec for r in model.embed(chunks).collect()}
+    got = np.array([vec[i * 7] for i in range(300)])
+    assert np.abs(got @ got.T - want @ want.T).max() < 1e-3 and not got[3].any()
+    assert set(model.weights) == set(col)
