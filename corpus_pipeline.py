@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import bpe, exact_dedup, minhash, mixing, quality_rules
 from corvane.llm.queries import multi_50k
-from corvane.sources.workspace import remove, shared_dir
+from corvane.sources.workspace import give_back, remove, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row: doc_id, lang, source, n_chars, n_tokens, ids_sha256, decoded_sha256, ids."""
+    give_back(spark)  # the stages before fill the executors' heaps, this one works in Python
     return bpe.encode_decode(docs, multi_50k(), with_ids=True)
 
 

@@ -129,3 +129,18 @@ def test_run(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_encoding_finds_the_heap_given_back(spark):
+    """Heap that stages filled is free, and out of the executors' hold, before the last stage's Python workers start."""
+    import corpus_pipeline
+
+    heap, gateway = spark.sparkContext._jvm.java.lang.Runtime.getRuntime(), spark.sparkContext._gateway
+    used = lambda: heap.totalMemory() - heap.freeMemory()
+    for _ in range(8):
+        garbage = gateway.new_array(gateway.jvm.long, 2 << 20)
+        gateway.detach(garbage)
+    filled, held = used(), heap.totalMemory()
+    docs = spark.createDataFrame([(1, "one text", "en", "src1", 8)], "doc_id long, text string, lang string, source string, n_chars int")
+    corpus_pipeline.encode(spark, docs, "")
+    assert used() < filled - (64 << 20) and heap.totalMemory() <= held
